@@ -3,6 +3,18 @@
 from __future__ import annotations
 
 from .encode import op7_bpe
+from .exact import OP2_SQL, op2_exact_dedup
+from .langid import op9_language_id
+from .media import op5_media
+from .packing import op1_best_fit_packing
+from .simple8b import op8_simple8b
 
-QUERIES = {"op7_bpe": op7_bpe}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op5_media": op5_media,
+    "op7_bpe": op7_bpe,
+    "op8_simple8b": op8_simple8b,
+    "op9_language_id": op9_language_id,
+}
+ORACLE = {"op2_exact_dedup": OP2_SQL}
