@@ -5,16 +5,22 @@ from __future__ import annotations
 from .encode import op7_bpe
 from .exact import OP2_SQL, op2_exact_dedup
 from .langid import op9_language_id
+from .licenses import op4_license_scan
+from .lines import OP3_SQL, op3_line_dedup
 from .media import op5_media
 from .packing import op1_best_fit_packing
+from .simhash import op6_simhash
 from .simple8b import op8_simple8b
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_media": op5_media,
+    "op6_simhash": op6_simhash,
     "op7_bpe": op7_bpe,
     "op8_simple8b": op8_simple8b,
     "op9_language_id": op9_language_id,
 }
-ORACLE = {"op2_exact_dedup": OP2_SQL}
+ORACLE = {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL}
