@@ -12,14 +12,18 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 DEFAULT = "byte_bpe_50k.json"
 WHITE = " \t\n\r\x0b\x0c"
 #: Cached fragments of one worker, and the longest that is cached.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: Fragments encoded in one row.
+ROW = 200
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,21 +47,37 @@ def inside_pairs(tokens) -> set[tuple[int, int]]:
     return {p for token in tokens for p in zip(token, token[1:], strict=False)}
 
 
-def fragment_pattern(tokens) -> str:
-    """A pattern whose matches are a text's fragments, end to end.
-
-    Letters and signs after which every cut is certain come in three classes; anything else stays within its fragment.
-    """
+def letters_and_signs(tokens) -> tuple[list[str], list[str]]:
+    """Letters after which a cut before any ASCII sign is certain, and signs after which one before white space is."""
     inside = inside_pairs(tokens)
     signs = [c for c in map(chr, range(128)) if not c.isalpha()]
     never = lambda x, ys: all((x.encode()[-1], ord(y)) not in inside for y in ys)
     letters = [c for c in map(chr, [*range(128), *range(0xC0, 0x250)]) if c.isalpha() and c not in "ªº" and never(c, signs)]
     others = [c for c in signs if c >= " " and c not in WHITE and never(c, WHITE)]
+    return letters, others
+
+
+def fragment_pattern(tokens) -> str:
+    """A pattern whose matches are a text's fragments, end to end; anything that is no such letter or sign stays within its fragment."""
+    letters, others = letters_and_signs(tokens)
     letter, other, white = ("".join(f"\\u{ord(c):04x}" for c in x) for x in (letters, others, WHITE))
     unit = f"[{white}]*[{other}]*[{letter}]*"
     return f"{unit}(?:[^{letter}{other}{white}]+{unit})*"
 
 
+class Slots(dict):
+    """The slot of each fragment; one not yet known gets the next slot and is listed as new."""
+
+    def __init__(self):
+        self.new, self.next = [], 0
+
+    def __missing__(self, fragment: str) -> int:
+        self.new.append(fragment)
+        slot = self[fragment] = self.next
+        self.next += 1
+        return slot
+
+
 class Encoder:
     """Exact ids of a text, as little-endian unsigned 32-bit bytes."""
 
@@ -71,7 +91,11 @@ class Encoder:
         self.added = re.compile("|".join(special)) if special else None
         added = {t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.cut = re.compile(fragment_pattern(set(self.bytes_of.values()) - added)).findall
-        self.cache: dict[str, bytes] = {}
+        self.letters = set(letters_and_signs(set(self.bytes_of.values()) - added)[0])
+        self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for i, b in self.bytes_of.items():
+            self.lengths[i] = len(b)
+        self._clear()
 
     def fragments(self, text: str) -> list[str]:
         if self.added is None or not self.added.search(text):
@@ -83,21 +107,42 @@ class Encoder:
         return found + self.cut(text[at:])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Distinct fragments are encoded once a batch, or come from the cache."""
-        split = [self.fragments(t) for t in texts]
+        """Distinct fragments are encoded once; each has a slot in the cache."""
         if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache = self.cache
-        new, long = list(set().union(*split).difference(cache)), []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for fragment, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[fragment] = ids_bytes(made.ids)
-                if len(fragment) > CACHE_CHARS:
-                    long.append(fragment)
-        found = [b"".join(map(cache.__getitem__, fs)) for fs in split]
-        for fragment in long:
-            del cache[fragment]
+            self._clear()
+        slot = self.cache.__getitem__
+        wanted = [list(map(slot, self.fragments(t))) for t in texts]
+        new, self.cache.new = self.cache.new, []
+        self.made += self._encode_fragments(new)
+        found = [b"".join(map(self.made.__getitem__, w)) for w in wanted]
+        for fragment in new:
+            if len(fragment) > CACHE_CHARS:
+                self.made[self.cache.pop(fragment)] = b""
+        return found
+
+    def _clear(self) -> None:
+        self.cache, self.made = Slots(), []
+
+    def _encode_fragments(self, fragments: list[str]) -> list[bytes]:
+        """Those that start with a space and end with a letter are encoded in rows, between certain cuts, and told apart by their bytes' lengths."""
+        found: list[bytes] = [b""] * len(fragments)
+        rows = [i for i, f in enumerate(fragments) if f[:1] == " " and f[-1] in self.letters]
+        chosen = set(rows)
+        alone = [i for i in range(len(fragments)) if i not in chosen]
+        for at in range(0, len(alone), ROW * 20):
+            part = alone[at : at + ROW * 20]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([fragments[i] for i in part], add_special_tokens=False), strict=True):
+                found[i] = ids_bytes(e.ids)
+        parts = [rows[at : at + ROW] for at in range(0, len(rows), ROW)]
+        for at in range(0, len(parts), 50):
+            some = parts[at : at + 50]
+            texts = [[fragments[i] for i in part] for part in some]
+            for part, own, e in zip(some, texts, self.tokenizer.encode_batch_fast(["".join(t) for t in texts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(f.encode()) for f in own])) + 1
+                data, before = ids.tobytes(), 0
+                for i, end in zip(part, (4 * ends).tolist(), strict=True):
+                    found[i], before = data[before:end], end
         return found
 
     def decode(self, ids) -> str:
@@ -106,8 +151,6 @@ class Encoder:
 
 
 def ids_bytes(ids) -> bytes:
-    from array import array
-
     return array("I", ids).tobytes()
 
 
