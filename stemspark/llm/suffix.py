@@ -28,6 +28,8 @@ from .common import prepare, read_documents, whole_text
 LENGTH, GRAM, RUN = 50, 16, 48
 #: Bytes of text a group of documents has, and the most that are hashed at once.
 GROUP_BYTES, CHUNK = 16 << 20, 1 << 20
+#: Into how many parts of its least hashes a bucket is split before bytes meet in it.
+PARTS = 16
 #: Hashes are cut to 48 bits; a unit is known by two of them.
 CUT = np.uint64((1 << 48) - 1)
 NO_DOC = np.iinfo(np.int64).max
@@ -118,6 +120,12 @@ class Group:
         """The distinct units of a bucket; lists that come back hold places in this one."""
         return self.by_bucket[self.edges[b] : self.edges[b + 1]]
 
+    def parts_of(self, b: int, places: np.ndarray, buckets: int):
+        """The places in a bucket's list, by part of the bucket."""
+        part = (self.least[self.of_bucket(b)[places]] // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
+        for k in np.unique(part).tolist():
+            yield places[part == k], k
+
 
 def _rows(rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [[]] * 5
@@ -178,16 +186,16 @@ def send_bytes(buckets: int):
     """Of each group: the bytes of the wanted units, to their buckets; what is known already goes on beside them."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        rows = [(buckets + r["bid"], r["bid"], r["bucket"], DONE, r["data"]) for r in found.to_pylist() if r["kind"] == DONE]
+        rows = [(buckets * PARTS + r["bid"], r["bid"], r["bucket"], DONE, r["data"]) for r in found.to_pylist() if r["kind"] == DONE]
         wanted = [r for r in found.to_pylist() if r["kind"] == WANTED]
         if wanted:
             own = Group(texts, buckets)
-            for r in wanted:
-                u = own.of_bucket(r["bucket"])[np.frombuffer(r["data"], "<u4")]
+            for r, places, part in ((r, places, part) for r in wanted for places, part in own.parts_of(r["bucket"], np.frombuffer(r["data"], "<u4"), buckets)):
+                u = own.of_bucket(r["bucket"])[places]
                 first = own.first[u]
                 pieces = [own.raw[k][a : a + n + LENGTH - 1] for k, a, n in zip(own.doc[first].tolist(), own.start[first].tolist(), own.size[first].tolist(), strict=True)]
                 head = np.array([len(u)], "<i8").tobytes() + own.first_id[u].astype("<i8").tobytes() + np.array([len(p) for p in pieces], "<u4").tobytes()
-                rows.append((r["bucket"], r["bid"], r["bucket"], BYTES, head + b"".join(pieces) + r["data"]))
+                rows.append((r["bucket"] * PARTS + part, r["bid"], r["bucket"], BYTES, head + b"".join(pieces) + places.astype("<u4").tobytes()))
         return _rows(rows)
 
     return run
