@@ -16,8 +16,6 @@ index lists and the bytes of differing units.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,7 +93,7 @@ class Group:
         ids = np.array([NO_DOC if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
         raw = [t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
         order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
-        self.ids, self.raw = ids[order], [raw[i] for i in order]
+        self.order, self.ids, self.raw = order, ids[order], [raw[i] for i in order]
         each = [units_of(np.frombuffer(r, np.uint8)) for r in self.raw]
         self.doc = np.repeat(np.arange(len(each)), [len(e[0]) for e in each])
         self.start, self.size, least, whole = (np.concatenate([e[k] for e in each]) if each else np.zeros(0, np.int64) for k in range(4))
@@ -250,8 +248,8 @@ def meet_bytes(table: pa.Table) -> pa.Table:
     return _rows(out)
 
 
-def removed_runs(buckets: int):
-    """doc_id, text's bytes, removed runs of each document of a group."""
+def removed_runs(buckets: int, more: int):
+    """doc_id, bytes, removed bytes and runs, what is kept, and the further columns, of each document of a group."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         own = Group(texts, buckets)
@@ -284,30 +282,33 @@ def removed_runs(buckets: int):
             spans = turns.reshape(-1, 2)
             edge = [0, *turns.tolist(), len(raw)]
             kept = b"".join(raw[x:y] for x, y in zip(edge[::2], edge[1::2], strict=True))
-            rows.append((None if own.ids[k] == NO_DOC else int(own.ids[k]), len(raw), int(gone.sum()), len(spans), kept, hashlib.sha256(raw).digest()))
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "digest"])
+            rows.append((None if own.ids[k] == NO_DOC else int(own.ids[k]), len(raw), int(gone.sum()), len(spans), kept))
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        passed = texts.select([f"_{k}" for k in range(more)]).take(pa.array(own.order, pa.int64()))
+        return pa.table([*made, *passed.columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *passed.column_names])
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes), digest (SHA-256 of the whole text) of every row.
+def suffix_dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, pass_on: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (bytes) of every row, and the columns passed on, as _0, _1 and so on.
 
     Null text is empty; a null doc_id is larger than any, and rows with the same doc_id don't remove from one another. Of a tie
     nothing goes: only a strictly smaller doc_id removes.
     """
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(pass_on)))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_bytes))
     own = texts.withColumn("bid", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "bid")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + "".join(f", _{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(pass_on))
     units = own.groupBy("bid").applyInArrow(send_units(n), SCHEMA)
     met = units.repartition(n, "key").groupBy("key").applyInArrow(meet_units, SCHEMA)
     sent = own.groupBy("bid").cogroup(met.repartition(n, "bid").groupBy("bid")).applyInArrow(send_bytes(n), SCHEMA)
     found = sent.repartition(n, "key").groupBy("key").applyInArrow(meet_bytes, SCHEMA)
-    return own.groupBy("bid").cogroup(found.repartition(n, "bid").groupBy("bid")).applyInArrow(removed_runs(n), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, digest binary")
+    return own.groupBy("bid").cogroup(found.repartition(n, "bid").groupBy("bid")).applyInArrow(removed_runs(n, len(pass_on)), schema)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -316,9 +317,9 @@ def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated passages; a cut sign of UTF-8 becomes U+FFFD. n_chars follows. No document goes."""
-    found = suffix_dedup(docs).where("n_removed > 0").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "kept")
-    own = docs.withColumn("_own", F.unhex(F.sha2(whole_text().cast("binary"), 256)))
-    joined = own.join(found, own["doc_id"].eqNullSafe(F.col("_doc")) & (own["_own"] == found["_digest"]), "left")
-    text = F.when(F.col("kept").isNull(), own["text"]).otherwise(F.expr("make_valid_utf8(cast(kept AS string))"))
-    joined = joined.withColumn("_new", text)
-    return joined.select(*(F.col("_new").alias(c) if c == "text" else F.length("_new").cast("long").alias(c) if c == "n_chars" else own[c] for c in docs.columns))
+    named = docs.withColumn("_null", F.col("text").isNull())
+    passed = tuple(c for c in named.columns if c not in ("doc_id", "text", "n_chars"))
+    found = suffix_dedup(named, pass_on=passed)
+    text = F.when(~F.col(f"_{passed.index('_null')}"), F.expr("make_valid_utf8(cast(kept AS string))"))
+    made = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")} | {c: F.col(f"_{k}") for k, c in enumerate(passed)}
+    return found.select(*(made[c].alias(c) for c in docs.columns))
