@@ -43,6 +43,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The most keys that spread_join broadcasts: each has this part of all rows.
+HOT_KEYS = 10_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """rows joined with the one row that table has for each key, without a task that gets all rows of a frequent key.
+
+    weight: the column of table that counts a key's rows. Of keys with a 10,000th of the rows or more there are at most 10,000; those
+    are broadcast, and no other key has more rows than that. Both frames are read more than once and should be cut.
+    """
+    hot = F.col(weight) * HOT_KEYS >= rows.count()
+    often = F.broadcast(table.where(hot))
+    seldom = rows.join(F.broadcast(table.where(hot).select(*on)), on, "left_anti").join(table.where(~hot), on)
+    return rows.join(often, on).unionByName(seldom)
+
+
 def ascii_lower(column):
     """Lower-cases A-Z only; translate() is slow, and for pure ASCII the two agree."""
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, prepare, read_documents, whole_text
+from .common import ascii_lower, cut, prepare, read_documents, spread_join, whole_text
 
 SLOTS, KICKS = 4, 200
 #: Live digests at which a map task hands its index on and starts another.
@@ -141,7 +141,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(ascii_lower(whole_text()).cast("binary"), 256)).alias("digest")))
-    return rows.join(exact_groups(rows), "digest").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), "digest")
+    return spread_join(rows, cut(exact_groups(rows)), ["digest"], "group_size").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), "digest")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
