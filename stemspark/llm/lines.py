@@ -11,11 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, read_documents, whole_text
+from .common import ascii_lower, cut, read_documents, spread_join, whole_text
 
 MIN_DOCS, MIN_CHARS, WORD = 10, 1, 62
-#: The most lines that are broadcast: each has this part of all rows.
-HOT_LINES = 10_000
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -42,15 +40,9 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     lines = _identified(docs).select("_doc", "_sum", F.posexplode(split_lines(F.col("_text"))).alias("_pos", "_line")).withColumn("_key", key_of(F.col("_line"))).where(F.char_length("_key") >= max(min_chars, 1))
     rows = lines.select(F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(1), "_key").alias("_g"), "_doc", "_sum", "_pos")
     rows = cut(rows.repartitionByRange(n, "_h", "_g", "_doc", "_sum").sortWithinPartitions("_h", "_g", "_doc", "_sum", "_pos"))
-    by_document = rows.groupBy("_h", "_g", "_doc", "_sum").agg(F.min("_pos").alias("_pos"))
-    found = by_document.groupBy("_h", "_g").agg(F.count("*").alias("_docs"), F.min(F.struct("_doc", "_sum", "_pos")).alias("_first")).where(F.col("_docs") >= min_docs)
-    # a line of a large share of all rows would meet in one task; of those with a 10,000th of the rows or more there are at most 10,000
-    found, total = cut(found), rows.count()
-    hot = F.col("_docs") * HOT_LINES >= total
-    some = found if keep_first else found.drop("_first")
-    often = F.broadcast(some.where(hot).drop("_docs"))
-    seldom = rows.join(F.broadcast(found.where(hot).select("_h", "_g")), ["_h", "_g"], "left_anti").join(some.where(~hot).drop("_docs"), ["_h", "_g"])
-    hits = rows.join(often, ["_h", "_g"]).unionByName(seldom)
+    by_document = rows.groupBy("_h", "_g", "_doc", "_sum").agg(F.min("_pos").alias("_pos"), F.count("*").alias("_n"))
+    found = by_document.groupBy("_h", "_g").agg(F.count("*").alias("_docs"), F.sum("_n").alias("_rows"), F.min(F.struct("_doc", "_sum", "_pos")).alias("_first")).where(F.col("_docs") >= min_docs)
+    hits = spread_join(rows, cut(found if keep_first else found.drop("_first")), ["_h", "_g"], "_rows")
     if keep_first:
         hits = hits.where(~F.struct("_doc", "_sum", "_pos").eqNullSafe(F.col("_first")))
     words = hits.groupBy("_doc", "_sum", F.floor(F.col("_pos") / WORD).cast("int").alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, _pos % {WORD})")).alias("_bits"))
