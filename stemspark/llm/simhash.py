@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, read_documents
+from .common import cut, prepare, read_documents, spread_join
 
 BITS, BUDGET, WORDS, SEED = 64, 4, 4, 42
 #: A bucket of more fingerprints is split further; and the rows a task joins at once, the node pairs it expands at once.
@@ -234,11 +234,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: larger neighbours go to the smallest of a node and its neighbours
         both = current.union(current.select(F.col("high").alias("low"), F.col("low").alias("high")))
-        least = both.groupBy(F.col("low").alias("node")).agg(F.least(F.min("high"), F.col("node")).alias("m"))
-        large = both.join(least, both["low"] == least["node"]).where(F.col("high") > F.col("low")).select(F.col("m").alias("low"), "high").where("low <> high").distinct()
+        least = cut(both.groupBy("low").agg(F.least(F.min("high"), F.col("low")).alias("m"), F.count("*").alias("n")))
+        large = cut(spread_join(both, least, ["low"], "n").where(F.col("high") > F.col("low")).select(F.col("m").alias("low"), "high").where("low <> high").distinct())
         # small star: smaller neighbours and the node itself go to its smallest
-        least = large.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("m"))
-        small = large.join(least, large["high"] == least["node"]).select(F.col("m").alias("low"), F.when(F.col("low") == F.col("m"), F.col("high")).otherwise(F.col("low")).alias("high"))
+        least = cut(large.groupBy("high").agg(F.min("low").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, least, ["high"], "n").select(F.col("m").alias("low"), F.when(F.col("low") == F.col("m"), F.col("high")).otherwise(F.col("low")).alias("high"))
         current = cut(small.where("low <> high").distinct())
         now = current.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
@@ -253,12 +253,13 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, words: int = WORDS) -
     a component without a doc_id has a null component_id.
     """
     rows = cut(fingerprints(docs, words))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), budget))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    named = cut(named)
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
+    named = cut(spread_join(named, least, ["root"], "size").select("fp", "n", "component_id"))
+    return spread_join(rows, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
