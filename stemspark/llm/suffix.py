@@ -25,7 +25,7 @@ from .common import prepare, read_documents, whole_text
 
 LENGTH, GRAM, RUN = 50, 16, 48
 #: Bytes of text a group of documents has, and the most that are hashed at once.
-GROUP_BYTES, CHUNK = 16 << 20, 1 << 20
+GROUP_BYTES, CHUNK = 8 << 20, 1 << 20
 #: Into how many parts of its least hashes a bucket is split before bytes meet in it.
 PARTS = 16
 #: Hashes are cut to 48 bits; a unit is known by two of them.
