@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 DEFAULT = "byte_bpe_50k.json"
 WHITE = " \t\n\r\x0b\x0c"
 #: Cached fragments of one worker, and the longest that is cached.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 #: Fragments encoded in one row.
 ROW = 200
 
