@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, read_documents
+from .common import cut, guarded, prepare, read_documents
 
 #: The classifier's parameters. Bound of the fitting sample: documents a language, as an expectation. Slots of the filter.
 SAMPLE, SLOTS, HASHES, NGRAM = 1500, 1 << 20, 3, 4
 #: An n-gram belongs to a language if this share of its sampled n-grams or more are it.
 LEAST_SHARE = 5e-6
-#: A text of which fewer n-grams than this are its language's isn't in a learned language.
-LEAST_RATE = 0.25
+#: A text with LONG n-grams or more, of which fewer than LEAST_RATE are its language's, isn't in a learned language; shorter ones can't tell.
+LEAST_RATE, LONG = 0.15, 50
 #: At most 64 languages fit a slot; the most frequent are learned.
 LANGUAGES = 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -61,26 +61,26 @@ class Filters:
             found = self.slots[at] if found is None else found & self.slots[at]
         return found
 
-    def rates(self, texts: list[str]) -> np.ndarray:
-        """By text and language, the share of n-grams that are the language's, corrected for false hits."""
+    def rates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By text and language, the share of n-grams that are the language's, corrected for false hits; and each text's n-grams."""
         each = [ngrams(signs(t)) for t in texts]
         sizes = np.array([len(g) for g in each])
         masks = self.containing(np.concatenate(each)) if sizes.sum() else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(texts)), sizes)
         hits = np.stack([np.bincount(owner[(masks >> np.uint64(k) & np.uint64(1)).astype(bool)], minlength=len(texts)) for k in range(len(self.languages))], 1)
         share = hits / np.maximum(sizes, 1)[:, None]
-        return np.clip((share - self.chance) / np.maximum(1 - self.chance, 1e-9), 0, 1)
+        return np.clip((share - self.chance) / np.maximum(1 - self.chance, 1e-9), 0, 1), sizes
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """(language or und, score, rate of its n-grams)."""
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, int]]:
+        """(language or und, score, rate of its n-grams, n-grams)."""
         known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-        found = [("und", 0.0, 0.0)] * len(texts)
+        found = [("und", 0.0, 0.0, 0)] * len(texts)
         if known and self.languages:
-            rates = self.rates([texts[i] for i in known])
+            rates, sizes = self.rates([texts[i] for i in known])
             top = rates.argmax(1)
-            for i, k, row in zip(known, top.tolist(), rates, strict=True):
+            for i, k, row, n in zip(known, top.tolist(), rates, sizes.tolist(), strict=True):
                 total = row.sum()
-                found[i] = (self.languages[k], float(row[k] / total) if total else 1 / len(row), float(row[k]))
+                found[i] = (self.languages[k], float(row[k] / total) if total else 1 / len(row), float(row[k]), n)
         return found
 
 
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
 
 
 def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred, score (the language's part of all rates) and rate. und: null text, or no letter, or nothing learned."""
+    """The kept columns with lang_pred, score (the language's part of all rates), rate and n_grams. und: null text, or no letter, or nothing learned."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(filters)  # of fixed size: SLOTS words
@@ -132,10 +132,10 @@ def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id
         own = shared.value
         for batch in batches:
             found = own.predict(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], [*names, "lang_pred", "score", "rate"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64())], [*names, "lang_pred", "score", "rate", "n_grams"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names)
-    return kept.mapInArrow(run, schema + ", lang_pred string, score double, rate double")
+    return kept.mapInArrow(run, schema + ", lang_pred string, score double, rate double, n_grams long")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
@@ -143,7 +143,8 @@ def op9_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+@guarded
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in a learned language."""
     names = docs.columns
-    return identify(docs, fit(docs), tuple(names)).where((F.col("lang_pred") != "und") & (F.col("rate") >= LEAST_RATE)).select(*names)
+    return identify(docs, fit(docs), tuple(names)).where((F.col("lang_pred") != "und") & ((F.col("rate") >= LEAST_RATE) | (F.col("n_grams") < LONG))).select(*names)
