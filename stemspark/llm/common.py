@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The columns that stages know by name.
+KNOWN = ("doc_id", "text", "lang", "n_chars")
+
+
+def guarded(stage):
+    """A stage of the pipeline whose further columns pass under other names, so that none clashes with a stage's own."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        inner = [c if c in KNOWN else f"_x{k}" for k, c in enumerate(names)]
+        return stage(spark, docs.toDF(*inner), sf_dir).select(*(F.col(i).alias(c) for i, c in zip(inner, names, strict=True)))
+
+    return run
+
+
 #: The most keys that spread_join broadcasts: each has this part of all rows.
 HOT_KEYS = 10_000
 

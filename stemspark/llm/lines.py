@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, read_documents, spread_join, whole_text
+from .common import ascii_lower, cut, guarded, read_documents, spread_join, whole_text
 
 MIN_DOCS, MIN_CHARS, WORD = 10, 1, 62
 SPACES = " \t\n\x0b\f\r"
@@ -68,6 +68,7 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_lines").alias("n_lines"), (F.col("_lines") - F.size("_kept")).alias("n_dropped"), F.sha2(F.array_join("_kept", "\n").cast("binary"), 256).alias("kept_sha256"))
 
 
+@guarded
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the lines that stay; n_chars follows. No document goes."""
     text = F.array_join("_kept", "\n")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, read_documents, spread_join
+from .common import cut, guarded, prepare, read_documents, spread_join
 
 BITS, BUDGET, WORDS, SEED = 64, 4, 4, 42
 #: A bucket of more fingerprints is split further; and the rows a task joins at once, the node pairs it expands at once.
@@ -267,6 +267,7 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@guarded
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id. Rows that repeat that doc_id stay with it; rows without doc_id stay."""
     found = near_duplicates(docs)

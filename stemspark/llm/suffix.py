@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, read_documents, whole_text
+from .common import guarded, prepare, read_documents, whole_text
 
 LENGTH, GRAM, RUN = 50, 16, 48
 #: Bytes of text a group of documents has, and the most that are hashed at once.
@@ -315,6 +315,7 @@ def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@guarded
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated passages; a cut sign of UTF-8 becomes U+FFFD. n_chars follows. No document goes."""
     named = docs.withColumn("_null", F.col("text").isNull())

@@ -4,6 +4,7 @@ import hashlib
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from stemspark.llm import langid
 
 from test_near import components_by_hand, fingerprint_by_hand, lines_by_hand, removed_by_hand, texts_of
@@ -63,6 +64,14 @@ def test_stages_on_odd_and_empty_tables(spark, odd, empty, k):
     assert stage(spark, empty, k).count() == 0
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_clashing_names_pass(spark, odd, k):
+    names = ("lang_pred", "score", "rate", "n_grams", "dropped_id", "_doc", "_sum", "_text", "_whole", "_lines", "_new", "_null", "_0", "fp", "component_id", "bid", "kept", "n_removed")
+    wide = odd.select("*", *(F.lit(c).alias(c) for c in names))
+    got = stage(spark, wide, k)
+    assert got.columns == wide.columns and all(r[c] == c for r in got.collect() for c in names)
+
+
 def test_null_texts_pass_the_suffix_stage(spark, odd):
     got = {r["doc_id"]: r["text"] for r in stage(spark, odd, 3).collect()}
     assert got[1] is None and got[2] == "" and hashlib.sha256(got[5].encode()).digest()
