@@ -241,9 +241,12 @@ def quality_rank(spark, d):
     return sampling.ranked(_candidates(spark, d).select("id", rounded("quality", 3).alias("quality")), [F.desc("quality"), "id"])
 
 
-@query("nms_greedy")
+_NMS = f"SELECT s_suppkey AS id, s_suppkey * 7919 % 300 / 100 AS cx, s_suppkey * 104729 % 300 / 100 AS cy, s_suppkey % 30 / 100 AS r, {rounded_sql(_QUALITY, 3)} AS quality FROM supplier"
+
+
+@query("nms_greedy", f"WITH RECURSIVE c AS (SELECT *, row_number() OVER (ORDER BY quality DESC, id) AS k FROM ({_NMS})), g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id BIGINT, cx DOUBLE, cy DOUBLE, r DOUBLE)[]) AS kept UNION ALL SELECT c.k, CASE WHEN len(list_filter(kept, lambda o: sqrt((o.cx - c.cx) ** 2 + (o.cy - c.cy) ** 2) < greatest(0.2e0, 0.72e0 * (o.r + c.r)))) = 0 THEN list_append(kept, {{'id': c.id, 'cx': c.cx, 'cy': c.cy, 'r': c.r}}) ELSE kept END FROM g JOIN c ON c.k = g.k + 1), l AS (SELECT unnest(kept) AS o FROM (SELECT kept FROM g ORDER BY k DESC LIMIT 1)) SELECT o.id AS id, o.cx AS cx, o.cy AS cy, o.r AS r FROM l")
 def nms_greedy(spark, d):
-    return nms.suppress(_candidates(spark, d)).select("id", "cx", "cy", "r")
+    return nms.suppress(_candidates(spark, d).withColumn("quality", rounded("quality", 3))).select("id", "cx", "cy", "r")
 
 
 @query("confidence_label", "SELECT o_orderkey, CASE WHEN o_orderkey % 150 >= 100 AND o_orderkey % 24 / 24e0 >= 0.55e0 AND o_orderkey % 6 >= 5 THEN 'high' WHEN o_orderkey % 150 >= 40 AND o_orderkey % 24 / 24e0 >= 0.35e0 AND o_orderkey % 6 >= 4 THEN 'medium' ELSE 'low' END AS confidence FROM orders")
@@ -437,6 +440,29 @@ def garden_predicates(spark, d):
     return p.agg(F.count_if(clouds.trunk_slice(25.0, -10.0, 4.0, 1.3)).alias("trunk"), F.count_if(clouds.crown_ellipse(25.0, -10.0, 6.0, 4.0, 1.0, 2.0)).alias("crown"))
 
 
+@query("scalar_geometry", f"SELECT p_partkey AS k, {rounded_sql('p_size / 100e0 * 200')} AS dbh_cm, {rounded_sql('2 * pi() * p_size / 100e0')} AS circumference, greatest(0.005e0, least(0.020e0, p_size / 100e0 * 0.13e0)) AS tolerance, greatest(0.018e0, p_size / 100e0 * 0.58e0) AS r_min, least(0.34e0, p_size / 100e0 * 1.5e0) AS r_max, greatest(0.065e0, p_size / 100e0 * 0.75e0) AS centre_tolerance, greatest(0.018e0, least(0.05e0, p_size / 100e0 * 0.085e0)) AS tube, greatest(1, CAST(ceil(p_partkey / 7e0) AS BIGINT)) AS step FROM part")
+def scalar_geometry(spark, d):
+    r = F.col("p_size") / 100
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), rounded(geo.dbh_cm(r)).alias("dbh_cm"), rounded(geo.circumference(r)).alias("circumference"), geo.tight_tolerance(r).alias("tolerance"), *geo.prior_bounds(r), geo.tube_radius(r).alias("tube"), geo.step_for(F.col("p_partkey"), F.lit(7.0)).alias("step"))
+
+
+@query("axis_geometry", f"WITH s AS (SELECT s_suppkey AS k, s_suppkey % 17 / 100e0 AS a, s_suppkey % 13 / 100e0 AS b FROM supplier) SELECT k, {rounded_sql('a * 1.3e0 + 5')} AS x, {rounded_sql('b * 1.3e0 - 3')} AS y, {rounded_sql('7 - a * 1.3e0')} AS ground_x, {rounded_sql('8 - b * 1.3e0')} AS ground_y FROM s")
+def axis_geometry(spark, d):
+    k = F.col("s_suppkey")
+    a, b = k % 17 / 100, k % 13 / 100
+    x, y, _ = geo.axis_point(a, F.lit(5.0), b, F.lit(-3.0), F.lit(-6.68), F.lit(1.3))
+    gx, gy = geo.ground_centre(F.lit(7.0), F.lit(8.0), a, b, F.lit(1.0))
+    return table(spark, d, "supplier").select(k.alias("k"), rounded(x).alias("x"), rounded(y).alias("y"), rounded(gx).alias("ground_x"), rounded(gy).alias("ground_y"))
+
+
+@query("text_fields", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'markings/' || c_name || '.json' END AS path, coalesce(trim(CASE WHEN c_custkey % 3 > 0 THEN '  ' || c_mktsegment || ' ' END), '') AS segment, array_to_string(string_split(c_name, '#')[1:3], ' · ') AS parts FROM customer")
+def text_fields(spark, d):
+    url = F.when(F.col("c_custkey") % 7 == 0, "/../secret").otherwise(F.concat(F.lit("//markings/"), "c_name", F.lit(".json")))
+    segment = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")))
+    rows = table(spark, d, "customer").withColumn("codes", F.split("c_name", "#"))
+    return rows.select("c_custkey", labels.safe_path(url).alias("path"), labels.optional_text(segment).alias("segment"), labels.top_reasons("codes").alias("parts"))
+
+
 @query("embedding_radius_nearest", "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS nearest_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT query_id, arg_min(nearest_id, (dist, nearest_id)) AS nearest_id, floor(min(dist) * 1e3 + 0.5) / 1e3 AS distance FROM p GROUP BY query_id")
 def embedding_radius_nearest(spark, d):
     """The nearest other vector of each query vector: queries are the ids divisible by 20, whose blocks meet all rows."""
