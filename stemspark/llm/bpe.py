@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 DEFAULT = "byte_bpe_50k.json"
 WHITE = " \t\n\r\x0b\x0c"
 #: Cached fragments of one worker, and the longest that is cached.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 #: Fragments encoded in one row.
 ROW = 200
 
@@ -81,7 +81,8 @@ class Slots(dict):
 class Encoder:
     """Exact ids of a text, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -108,7 +109,7 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Distinct fragments are encoded once; each has a slot in the cache."""
-        if len(self.cache) > CACHE_ENTRIES:
+        if len(self.cache) > self.entries:
             self._clear()
         slot = self.cache.__getitem__
         wanted = [list(map(slot, self.fragments(t))) for t in texts]
@@ -155,6 +156,6 @@ def ids_bytes(ids) -> bytes:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(name: str = DEFAULT) -> Encoder:
+def encoder(name: str = DEFAULT, entries: int = CACHE_ENTRIES) -> Encoder:
     """One a worker; name: of a public vocabulary, or a path."""
-    return Encoder(name if "/" in name else public_tokenizers.path(name))
+    return Encoder(name if "/" in name else public_tokenizers.path(name), entries)

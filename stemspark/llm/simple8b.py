@@ -23,6 +23,8 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = tuple(60 // n for n in COUNTS)
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
+#: Fragments the encoder may cache: fewer than elsewhere, since whole texts are sorted beside it.
+CACHED = 200_000
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -94,7 +96,7 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str =
     prepare(spark)
 
     def run(batches):
-        own, end, part, block, before = encoder(vocabulary), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0, 0
+        own, end, part, block, before = encoder(vocabulary, CACHED), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             ids = [i + end for i in own.encode_batch([t or "" for t in batch.column("text").to_pylist()])]
             names, rows, at = batch.column("doc_id").to_pylist(), [], 0
