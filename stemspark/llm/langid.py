@@ -23,6 +23,8 @@ LEAST_SHARE = 5e-6
 LEAST_RATE, LONG = 0.15, 50
 #: At most 64 languages fit a slot; the most frequent are learned.
 LANGUAGES = 64
+#: Texts whose n-grams are in memory at once.
+SLICE = 64
 LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -131,7 +133,8 @@ def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id
     def run(batches):
         own = shared.value
         for batch in batches:
-            found = own.predict(batch.column("text").to_pylist())
+            texts = batch.column("text").to_pylist()
+            found = [f for at in range(0, len(texts), SLICE) for f in own.predict(texts[at : at + SLICE])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64())], [*names, "lang_pred", "score", "rate", "n_grams"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names)
