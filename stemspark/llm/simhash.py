@@ -22,7 +22,7 @@ from .common import cut, guarded, prepare, read_documents, spread_join
 
 BITS, BUDGET, WORDS, SEED = 64, 4, 4, 42
 #: A bucket of more fingerprints is split further; and the rows a task joins at once, the node pairs it expands at once.
-BUCKET, ROWS, PAIRS = 20_000, 60_000, 1_000_000
+BUCKET, ROWS, PAIRS = 20_000, 20_000, 200_000
 #: So few free bits bound a bucket by themselves.
 FREE_BITS = 16
 
