@@ -6,6 +6,9 @@ of the bits it does not share, until it fits or few free bits bound it. Within b
 free bits are traversed together: differing bits accumulate over path-compressed nodes, and a pair is dropped once they exceed
 the budget, or when all leaves below it are known to hang together. Only links that join two parts are returned, so a group of
 any size gives fewer links than it has members.
+
+The stage of the pipeline links by similarity instead: Jaccard 0.8 or more of the sets of five-word shingles, candidates by MinHash
+bands, each verified by the sets. At 0.8 fingerprints differ in 10 bits of 64 and more, for which blocks no longer separate.
 """
 
 from __future__ import annotations
@@ -25,6 +28,12 @@ BITS, BUDGET, WORDS, SEED = 64, 4, 4, 42
 BUCKET, ROWS, PAIRS = 20_000, 20_000, 200_000
 #: So few free bits bound a bucket by themselves.
 FREE_BITS = 16
+#: The stage: words a shingle, least Jaccard similarity; bands and their rows, which leave out (1 - 0.8 ** 6) ** 40 = 5e-6 of the pairs at 0.8, fewer above.
+STAGE_WORDS, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 40, 6
+#: Hashes that a task of the stage compares at once.
+PART_HASHES = 2_000_000
+_FACTORS, _ADDENDS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+_FACTORS |= np.uint64(1)
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -246,6 +255,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _named(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of rows (doc_id, fp): the smallest doc_id that edges between fps reach. distinct: fp, first, n."""
+    roots = components(edges)
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    named = cut(named)
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
+    named = cut(spread_join(named, least, ["root"], "size").select("fp", "n", "component_id"))
+    return spread_join(rows, named, ["fp"], "n").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, words: int = WORDS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links of at most `budget` bits reach.
 
@@ -254,12 +273,131 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, words: int = WORDS) -
     """
     rows = cut(fingerprints(docs, words))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    roots = components(links(distinct.select("fp"), budget))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    named = cut(named)
-    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
-    named = cut(spread_join(named, least, ["root"], "size").select("fp", "n", "component_id"))
-    return spread_join(rows, named, ["fp"], "n").select("doc_id", "fp", "component_id")
+    return _named(rows, distinct, links(distinct.select("fp"), budget))
+
+
+# The stage of the pipeline: Jaccard similarity of word shingles
+
+
+def shingles(text: str, words: int = STAGE_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; a text of fewer words is one shingle, one without words has none."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    each = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in each), np.uint64))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """Of each band the hash of its least hashes; sets without shingles have no bands."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 512):
+        mixed = _FACTORS[:, None] * found[None, at : at + 512]
+        mixed += _ADDENDS[:, None]
+        np.minimum(least, mixed.min(1), out=least)
+    raw, step = least.tobytes(), 8 * BAND_ROWS
+    return np.array([xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def set_key(found: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)) if len(found) else 0
+
+
+def verified_links(sets: list[np.ndarray], bands: np.ndarray, label: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (indices) that connect all sets that share a band and have a Jaccard similarity of `least` or more. label: parts known before."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    local = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, label, links, tried = np.zeros(len(local), bool), np.unique(label, return_inverse=True)[1], [], set()
+    for k in range(bands.shape[1]):
+        order = np.argsort(bands[:, k], kind="stable")
+        cuts = np.flatnonzero(np.diff(bands[order, k])) + 1
+        for bucket in np.split(order, cuts):
+            if len(bucket) < 2 or (label[bucket] == label[bucket[0]]).all() or (key := bucket.tobytes()) in tried:
+                continue
+            tried.add(key)
+            for at in range(1, len(bucket)):
+                y = bucket[at]
+                rest = bucket[:at]
+                low, high = np.minimum(sizes[rest], sizes[y]), np.maximum(sizes[rest], sizes[y])
+                rest = rest[(label[rest] != label[y]) & (low >= least * high)]
+                own, take = local[ends[y] - sizes[y] : ends[y]], 1
+                mark[own] = True
+                while len(rest):  # a dense part is met at the first of its members
+                    some, rest = rest[:take], rest[take:]
+                    common = np.array([np.count_nonzero(mark[local[ends[x] - sizes[x] : ends[x]]]) for x in some])
+                    for x in some[common >= least * (sizes[some] + sizes[y] - common)]:
+                        if label[x] != label[y]:
+                            links.append((int(x), int(y)))
+                            label[label == label[x]] = label[y]
+                    rest, take = rest[label[rest] != label[y]], min(4 * take, 1024)
+                mark[own] = False
+    return links
+
+
+def _verify(table: pa.Table) -> pa.Table:
+    """Links a, b within the members of one group."""
+    first = {k: at for at, k in enumerate(table.column("fp").to_pylist())}  # rows that repeat a document are one member
+    keys, at = list(first), list(first.values())
+    sets = [np.frombuffer(table.column("hashes")[i].as_buffer(), "<u8") for i in at]
+    bands = np.stack([np.frombuffer(table.column("bands")[i].as_buffer(), "<i8") for i in at])
+    found = verified_links(sets, bands, table.column("label").to_numpy()[at])
+    return pa.table([pa.array([keys[x] for x, _ in found], pa.int64()), pa.array([keys[y] for _, y in found], pa.int64())], names=["a", "b"])
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (of the shingle set), component_id: the smallest doc_id that links of SIMILARITY or more reach.
+
+    Equal sets collapse first. Sets that share the least hashes of a band are candidates; those that hang together meet in one task,
+    which verifies by the sets themselves. What is too large for a task is dealt into parts: first each part, then each pair of parts.
+    Null texts, rows without words and null doc_ids are as in near_duplicates.
+    """
+    prepare(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+
+    def keys(batches):
+        for batch in batches:
+            found = []
+            for t in batch.column("text").to_pylist():
+                s = shingles(t or "")
+                found.append((set_key(s), len(s), band_keys(s)))
+            fp, size, bands = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "size", "bands"])
+
+    def contents(batches):
+        for batch in batches:
+            keep, hashes, bands = [], [], []
+            for k, (t, fp) in enumerate(zip(batch.column("text").to_pylist(), batch.column("fp").to_pylist(), strict=True)):
+                s = shingles(t or "")
+                if set_key(s) == fp:  # rows that share the doc_id only are other members or none
+                    keep.append(k)
+                    hashes.append(s.tobytes())
+                    bands.append(band_keys(s).tobytes())
+            rows = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("root", "part", "parts", "fp")), pa.array(hashes, pa.binary()), pa.array(bands, pa.binary())], ["root", "part", "parts", "fp", "hashes", "bands"])
+
+    rows = cut(own.mapInArrow(keys, "doc_id long, fp long, size long, bands array<long>"))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    met = distinct.select("fp", F.posexplode("bands").alias("band", "key"))
+    shared = cut(met.groupBy("band", "key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1"))
+    edges = spread_join(met, shared, ["band", "key"], "n").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
+    roots = cut(components(edges))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = cut(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "first", "size", "root"))
+    weights = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") + BANDS) / PART_HASHES).alias("parts"))
+    members = members.join(weights, "root").select("fp", "first", "root", "parts", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
+    sent = cut(own.join(members, F.col("doc_id").eqNullSafe(F.col("first"))).select("root", "part", "parts", "fp", "text").mapInArrow(contents, "root long, part long, parts long, fp long, hashes binary, bands binary"))
+    found = cut(sent.withColumn("label", F.col("fp")).groupBy("root", "part").applyInArrow(_verify, "a long, b long"))
+    large = sent.where("parts > 1")
+    if not large.isEmpty():
+        known = components(found)
+        large = large.join(known, large["fp"] == known["node"], "left").withColumn("label", F.coalesce(known["root"], "fp")).select(large["root"], "part", "parts", "fp", "hashes", "bands", "label")
+        pairs = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("other <> part")
+        pairs = pairs.groupBy("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        found = found.union(cut(pairs.applyInArrow(_verify, "a long, b long")))
+    return _named(rows.select("doc_id", "fp"), distinct.select("fp", "first", "n"), found)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
@@ -269,7 +407,7 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
 
 @guarded
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id. Rows that repeat that doc_id stay with it; rows without doc_id stay."""
-    found = near_duplicates(docs)
+    """One document of each component of similar documents stays: the one with the smallest doc_id. Rows that repeat that doc_id stay with it; rows without doc_id stay."""
+    found = similar(docs)
     dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped_id")).distinct()
     return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti").select(*docs.columns)

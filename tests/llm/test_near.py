@@ -157,6 +157,60 @@ def test_components_of_a_chain(spark):
     assert {(r["node"], r["root"]) for r in simhash.components(df).collect()} == {(i, 0) for i in range(1, 31)} | {(100, 99)}
 
 
+def similar_by_hand(texts):
+    """The smallest doc_id of each part of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for _, text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
+        sets.append({" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)})
+    part = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if part[i] != part[j] and 10 * len(a & b) >= 8 * len(a | b):
+                part = [part[j] if x == part[i] else x for x in part]
+    least: dict = {}
+    for (doc, _), p in zip(texts, part, strict=True):
+        least[p] = min((x for x in (least.get(p), doc) if x is not None), default=None)
+    return sorted(((doc, least[p]) for (doc, _), p in zip(texts, part, strict=True)), key=str)
+
+
+def similar_by_engine(df):
+    return sorted(((r["doc_id"], r["component_id"]) for r in simhash.similar(df).collect()), key=str)
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "empty"])
+def test_similar_components(which, request):
+    df = request.getfixturevalue(which)
+    assert similar_by_engine(df) == similar_by_hand(texts_of(df))
+
+
+@pytest.fixture(scope="module")
+def near_copies(spark):
+    """Texts of 120 words, each with copies of one to four replaced words: a similarity of about 0.75 to 0.92."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for base in range(12):
+        words = [f"w{base}x{k}" for k in range(120)]
+        texts.append(words)
+        for n in (1, 2, 2, 3, 4):
+            copy = list(words)
+            for at in rng.choice(120, n, replace=False):
+                copy[at] = f"other{rng.integers(10**9)}"
+            texts.append(copy)
+    return spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("part", [2_000_000, 300])
+def test_the_stage_drops_copies_of_a_similarity_of_four_fifths(near_copies, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART_HASHES", part)
+    want = similar_by_hand(texts_of(near_copies))
+    assert similar_by_engine(near_copies) == want
+    kept = {r["doc_id"] for r in simhash.stage(near_copies.sparkSession, near_copies, SF).collect()}
+    assert kept == {c for _, c in want}
+    by_bits = {r["component_id"] for r in simhash.near_duplicates(near_copies).collect()}
+    assert len(by_bits) > len(kept)  # the rule of the query alone leaves near copies
+
+
 # Repeated passages
 
 
