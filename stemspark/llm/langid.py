@@ -1,6 +1,6 @@
 """Operator 9: language identification by language-bitmask n-gram filters.
 
-All languages share one Bloom filter whose slots hold a bit a language (bit-sliced): the AND of an n-gram's slots has the bits
+All languages share one Bloom filter whose slots hold a bit a language (bit-sliced, in as many 64-bit words as needed): the AND of an n-gram's slots has the bits
 of all languages that contain it. A text's hits by language, less what the language's filter would hit by chance, decide.
 """
 
@@ -21,8 +21,8 @@ SAMPLE, SLOTS, HASHES, NGRAM = 1500, 1 << 20, 3, 4
 LEAST_SHARE = 5e-6
 #: A text with LONG n-grams or more, of which fewer than LEAST_RATE are its language's, isn't in a learned language; shorter ones can't tell.
 LEAST_RATE, LONG = 0.15, 50
-#: At most 64 languages fit a slot; the most frequent are learned.
-LANGUAGES = 64
+#: Bits of a word; a slot has as many words as the languages need.
+WORD = 64
 #: Texts whose n-grams are in memory at once.
 SLICE = 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -50,26 +50,29 @@ class Filters:
 
     def __init__(self, grams: dict[str, np.ndarray]):
         self.languages = sorted(grams)
-        self.slots = np.zeros(SLOTS, np.uint64)
+        self.slots = np.zeros((-(-len(self.languages) // WORD), SLOTS), np.uint64)
         for k, language in enumerate(self.languages):
             for at in slots_of(grams[language]):
-                self.slots[at] |= np.uint64(1 << k)
-        self.chance = np.array([np.count_nonzero(self.slots >> np.uint64(k) & np.uint64(1)) / SLOTS for k in range(len(self.languages))]) ** HASHES
+                self.slots[k // WORD][at] |= np.uint64(1 << k % WORD)
+        self.chance = np.array([np.count_nonzero(self.slots[k // WORD] >> np.uint64(k % WORD) & np.uint64(1)) / SLOTS for k in range(len(self.languages))]) ** HASHES
 
-    def containing(self, grams: np.ndarray) -> np.ndarray:
-        """The bitmask of languages that contain each n-gram."""
-        found = None
+    def containing(self, grams: np.ndarray, word: int = 0) -> np.ndarray:
+        """The bitmask of languages that contain each n-gram, of the 64 languages of a word."""
+        found, slots = None, self.slots[word]
         for at in slots_of(grams):
-            found = self.slots[at] if found is None else found & self.slots[at]
+            found = slots[at] if found is None else found & slots[at]
         return found
 
     def rates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """By text and language, the share of n-grams that are the language's, corrected for false hits; and each text's n-grams."""
         each = [ngrams(signs(t)) for t in texts]
         sizes = np.array([len(g) for g in each])
-        masks = self.containing(np.concatenate(each)) if sizes.sum() else np.zeros(0, np.uint64)
+        grams, hits = np.concatenate(each), []
         owner = np.repeat(np.arange(len(texts)), sizes)
-        hits = np.stack([np.bincount(owner[(masks >> np.uint64(k) & np.uint64(1)).astype(bool)], minlength=len(texts)) for k in range(len(self.languages))], 1)
+        for word in range(len(self.slots)):
+            masks = self.containing(grams, word)
+            hits += [np.bincount(owner[(masks >> np.uint64(k) & np.uint64(1)).astype(bool)], minlength=len(texts)) for k in range(min(WORD, len(self.languages) - word * WORD))]
+        hits = np.stack(hits, 1)
         share = hits / np.maximum(sizes, 1)[:, None]
         return np.clip((share - self.chance) / np.maximum(1 - self.chance, 1e-9), 0, 1), sizes
 
@@ -98,13 +101,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     """
     prepare(docs.sparkSession)
     train = docs.where(~held_out() & F.col("lang").isNotNull())
-    counts = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    share = None
-    for r in counts:
-        take = F.lit(min(1.0, sample / r["n"]))
-        share = F.when(F.col("lang") == r["lang"], take) if share is None else share.when(F.col("lang") == r["lang"], take)
-    if share is None:
+    counts = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row a language
+    if not counts:
         return Filters({})
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["n"]))))[F.col("lang")]
     chosen = train.where((F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)) < share).select("lang", "text")
 
     def run(batches):
@@ -126,7 +126,7 @@ def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id
     """The kept columns with lang_pred, score (the language's part of all rates), rate and n_grams. und: null text, or no letter, or nothing learned."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(filters)  # of fixed size: SLOTS words
+    shared = spark.sparkContext.broadcast(filters)  # of fixed size: SLOTS words for each 64 languages
     kept = docs.select(*keep, *([] if "text" in keep else ["text"]))
     names = list(keep)
 

@@ -109,3 +109,15 @@ def test_labels_are_no_input(spark, odd, label):
     one = langid.identify(odd, filters).collect()
     other = langid.identify(odd.withColumn("lang", F.lit(label)).withColumn("source", F.lit("z")), filters).collect()
     assert [r["lang_pred"] for r in one] == [r["lang_pred"] for r in other]
+
+
+def test_more_than_64_languages_are_learned(spark):
+    """70 languages, each with its own words; the rarest are learned and told apart, too."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, i: letters[k % 26] + letters[k // 26] + letters[i % 26] + letters[(7 * i + k) % 26] + letters[k % 26]
+    rows = [(100 * k + i, " ".join(word(k, (i + j) % 26) for j in range(12)), f"l{k:02}") for k in range(70) for i in range(30 if k < 64 else 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.fit(df)
+    assert len(filters.languages) == 70
+    label = {r[0]: r[2] for r in rows}
+    assert all(r["lang_pred"] == label[r["doc_id"]] for r in langid.identify(df, filters).collect())
