@@ -2,23 +2,76 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch handed to Python; whole texts are long, so batches stay small.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch handed to Python; whole texts are long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
+    """Bounds an Arrow batch for the session's later queries, so that a batch of long texts fits a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
+
+
+def give_back() -> None:
+    """Freed memory of a Python worker goes back to the system, since the worker lives on beside later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run):
+    """A function for mapInArrow whose worker gives back what it freed when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+#: A group of so many bytes or more gives back its memory.
+LARGE_GROUP = 1 << 20
+
+
+def lean_group(run):
+    """The same for applyInArrow, after each large group."""
+
+    @functools.wraps(run)
+    def wrapped(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            if table.nbytes >= LARGE_GROUP:
+                give_back()
+
+    return wrapped
+
+
+def lean_cogroup(run):
+    @functools.wraps(run)
+    def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            if left.nbytes + right.nbytes >= LARGE_GROUP:
+                give_back()
+
+    return wrapped
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +91,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, wherever it is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read from there: later stages do not depend on executors that made it."""
     shared_dir(df.sparkSession)
@@ -71,6 +130,8 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -
     are broadcast, and no other key has more rows than that. Both frames are read more than once and should be cut.
     """
     hot = F.col(weight) * HOT_KEYS >= rows.count()
+    if table.where(hot).isEmpty():
+        return rows.join(table, on)
     often = F.broadcast(table.where(hot))
     seldom = rows.join(F.broadcast(table.where(hot).select(*on)), on, "left_anti").join(table.where(~hot), on)
     return rows.join(often, on).unionByName(seldom)
@@ -83,3 +144,8 @@ def ascii_lower(column):
 
 def whole_text(column="text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def text_sum(column="text"):
+    """A 64-bit hash of a whole text; with the doc_id it tells apart rows that share the doc_id."""
+    return F.xxhash64(whole_text(column))

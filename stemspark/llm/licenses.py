@@ -2,7 +2,8 @@
 
 Every document's rolling word k-gram hashes join the positions of the same hashes in short templates. A hit votes for the diagonal
 (place in the document less place in the template). Neighbouring diagonals of a template merge, which lets words be missing or added,
-and the merged span is verified by the share of the template's grams that voted. Phrases are templates of two-grams that must vote in full.
+and the merged span is verified by the share of the template's grams that voted; each vote is verified by all words of its gram.
+Phrases are templates of two-grams that must vote in full.
 """
 
 from __future__ import annotations
@@ -30,50 +31,54 @@ K, SHIFT, LEAST = 4, 2, 0.6
 
 def words_of(text):
     """Of lower-cased text; lower-casing beyond A-Z neither adds nor joins words, and phrases are ASCII."""
-    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
 
 
-def _template_rows(texts: dict[str, str], k: int) -> list[tuple]:
-    """(template, label, its grams, place, the gram's words)."""
-    rows = []
+def _template_rows(texts: dict[str, str], k: int, kind: str) -> list[tuple]:
+    """(the gram's words, its entries: kind, template, label, grams of the template, place). Grams that recur have several entries."""
+    rows: dict[tuple, list] = {}
     for t, (text, label) in enumerate(texts.items()):
         words = text.split()
-        rows += [(t, label, len(words) - k + 1, p, words[p : p + k]) for p in range(len(words) - k + 1)]
-    return rows
+        for p in range(len(words) - k + 1):
+            rows.setdefault(tuple(words[p : p + k]), []).append((kind, t, label, len(words) - k + 1, p))
+    return [(list(words), entries) for words, entries in rows.items()]
 
 
-def _grams_table(spark, texts: dict[str, str], k: int, prefix: str) -> DataFrame:
-    """A few rows a template, whatever the corpus."""
-    rows = spark.createDataFrame(_template_rows(texts, k), "t int, label string, n int, place int, words array<string>")
-    made = rows.select(F.xxhash64(*(F.col("words")[i] for i in range(k))).alias("h"), "t", "label", "n", "place", "words")
-    return made.select(*(F.col(c).alias(prefix + c) for c in made.columns))
+ENTRIES = "array<struct<kind:string,t:int,label:string,n:int,place:int>>"
+
+
+def _grams_table(spark, texts: dict[str, str], k: int, kind: str) -> DataFrame:
+    """One row a distinct gram of the templates, whatever the corpus: its hash, words and entries."""
+    rows = spark.createDataFrame(_template_rows(texts, k, kind), f"words array<string>, entries {ENTRIES}")
+    return rows.select(F.xxhash64(*(F.col("words")[i] for i in range(k))).alias(f"{kind}_h"), F.col("words").alias(f"{kind}_words"), F.col("entries").alias(f"{kind}_entries"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row a document.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row for each row of docs.
 
-    A document is its doc_id with its text; rows that repeat both are one document and give one row. Null text is empty: no words, no labels, score 0.
+    Null text is empty: no words, no labels, score 0. Rows that repeat a doc_id and its text are scanned as one and returned as often
+    as they occur; null doc_ids and rows that share a doc_id only are scanned apart.
     """
     spark = docs.sparkSession
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
-    base = F.broadcast(_grams_table(spark, phrases, 2, "b_"))
-    own = F.broadcast(_grams_table(spark, templates, K, "o_"))
+    base, own = (F.broadcast(_grams_table(spark, texts, k, kind)) for texts, k, kind in ((phrases, 2, "base"), (templates, K, "own")))
     text = docs.select(F.col("doc_id").alias("_doc"), whole_text().alias("_text"))
     words = text.select("_doc", F.xxhash64("_text").alias("_sum"), words_of(F.col("_text")).alias("_w")).withColumn("_n", F.size("_w").cast("long"))
-    grams = F.expr(f"transform(_w, (w, i) -> struct(w AS w0, get(_w, i + 1) AS w1, xxhash64(w, get(_w, i + 1)) AS h2, xxhash64({', '.join(['w', *(f'get(_w, i + {j})' for j in range(1, K))])}) AS h4))")
-    rows = words.select("_doc", "_sum", "_n", F.posexplode_outer(grams).alias("_pos", "_g")).select("_doc", "_sum", "_n", "_pos", "_g.*")
-    hits = rows.join(base, (F.col("h2") == F.col("b_h")) & (F.col("w0") == F.col("b_words")[0]) & (F.col("w1") == F.col("b_words")[1]), "left")
-    hits = hits.join(own, (F.col("h4") == F.col("o_h")) & (F.col("w0") == F.col("o_words")[0]) & (F.col("w1") == F.col("o_words")[1]), "left")
-    hits = hits.where(F.col("b_t").isNotNull() | F.col("o_t").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
-    vote = lambda p, kind: F.struct(F.lit(kind).alias("kind"), F.col(f"{p}_t").alias("t"), F.col(f"{p}_label").alias("label"), F.col(f"{p}_n").alias("n"), (F.col("_pos") - F.col(f"{p}_place")).cast("long").alias("diagonal"), F.col(f"{p}_place").alias("place"))
-    # the first word's row stands for its document even without a hit
-    votes = hits.select("_doc", "_sum", "_n", F.explode(F.array(vote("b", "base"), vote("o", "own"))).alias("v")).select("_doc", "_sum", "_n", "v.*")
-    diagonals = votes.groupBy("_doc", "_sum", "_n", "kind", "t", "label", "n", "diagonal").agg(F.collect_set("place").alias("places"))
+    rows = words.select("_doc", "_sum", "_n", "_w", F.posexplode_outer("_w").alias("_pos", "_word"))
+    gram = lambda k: F.xxhash64("_word", *(F.get("_w", F.col("_pos") + i) for i in range(1, k)))
+    same = lambda k, kind: (gram(k) == F.col(f"{kind}_h")) & (F.slice("_w", F.col("_pos") + 1, k) == F.col(f"{kind}_words"))
+    hits = rows.join(base, same(2, "base"), "left").join(own, same(K, "own"), "left")
+    begins = F.coalesce("_pos", F.lit(0)) == 0  # this row stands for its document even without a hit
+    hits = hits.where(F.col("base_h").isNotNull() | F.col("own_h").isNotNull() | begins)
+    none, itself = F.expr(f"cast(array() AS {ENTRIES})"), F.expr(f"cast(array(named_struct('kind', 'row', 't', null, 'label', null, 'n', null, 'place', 0)) AS {ENTRIES})")
+    entries = F.concat(F.coalesce("base_entries", none), F.coalesce("own_entries", none), F.when(begins, itself).otherwise(none))
+    votes = hits.select("_doc", "_sum", "_n", F.coalesce("_pos", F.lit(0)).alias("_pos"), F.explode(entries).alias("v")).select("_doc", "_sum", "_n", "v.*", (F.col("_pos") - F.col("v.place")).cast("long").alias("diagonal"))
+    diagonals = votes.groupBy("_doc", "_sum", "_n", "kind", "t", "label", "n", "diagonal").agg(F.collect_set("place").alias("places"), F.count("*").alias("copies"))
     order = Window.partitionBy("_doc", "_sum", "kind", "t").orderBy("diagonal")
     near = (F.col("kind") == "own") & (F.col("diagonal") - F.lag("diagonal").over(order) <= SHIFT)
     runs = diagonals.withColumn("new", F.when(near, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    spans = runs.groupBy("_doc", "_sum", "_n", "kind", "t", "label", "n", "run").agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("grams"))
-    spans = spans.withColumn("share", F.col("grams") / F.col("n")).withColumn("ok", F.when(F.col("kind") == "base", F.col("grams") == F.col("n")).otherwise(F.col("share") >= LEAST))
+    spans = runs.groupBy("_doc", "_sum", "_n", "kind", "t", "label", "n", "run").agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("grams"), F.max("copies").alias("copies"))
+    spans = spans.withColumn("share", F.col("grams") / F.col("n")).withColumn("ok", F.when(F.col("kind") == "base", F.col("grams") == F.col("n")).when(F.col("kind") == "own", F.col("share") >= LEAST))
     is_base = F.coalesce(F.col("ok") & (F.col("kind") == "base"), F.lit(False))
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     found = spans.groupBy("_doc", "_sum", "_n").agg(
@@ -83,7 +88,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
         labels(is_base).alias("base_labels"),
         labels(F.coalesce("ok", F.lit(False))).alias("labels"),
         F.coalesce(F.max(F.when(F.col("ok"), F.least("share", F.lit(1.0)))), F.lit(0.0)).alias("score"),
+        F.max(F.when(F.col("kind") == "row", F.col("copies"))).alias("_copies"),
     )
+    # two steps, so that no array is as long as the rows of one document are many
+    found = found.withColumn("_part", F.explode(F.expr("sequence(0L, (_copies - 1) div 10000)"))).withColumn("_copy", F.explode(F.expr("sequence(1L, least(10000L, _copies - 10000 * _part))")))
     return found.select(F.col("_doc").alias("doc_id"), F.col("_n").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
