@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, guarded, prepare, read_documents
+from .common import cut, guarded, lean, prepare, read_documents
 
 #: The classifier's parameters. Bound of the fitting sample: documents a language, as an expectation. Slots of the filter.
 SAMPLE, SLOTS, HASHES, NGRAM = 1500, 1 << 20, 3, 4
@@ -90,22 +90,23 @@ class Filters:
 
 
 def held_out(column="doc_id"):
-    """The documents that are never learned from; null doc_ids are, too."""
+    """The documents kept for testing; a null doc_id is none of them, but is not learned from either."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
-    """Learns from labelled documents that aren't held out: of each language those whose hash falls under its share.
+    """Learns from labelled documents with a doc_id that aren't held out: of each language those whose hash of doc_id and text falls under its share.
 
+    Null and empty texts add nothing; rows that repeat a doc_id and its text are learned from together or not at all; an empty table teaches no language.
     The sample is the only bounded input; its n-grams are counted by executors and only the lasting ones reach the driver.
     """
     prepare(docs.sparkSession)
-    train = docs.where(~held_out() & F.col("lang").isNotNull())
+    train = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     counts = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row a language
     if not counts:
         return Filters({})
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["n"]))))[F.col("lang")]
-    chosen = train.where((F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)) < share).select("lang", "text")
+    chosen = train.where((F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)) < share).select("lang", "text")
 
     def run(batches):
         for batch in batches:
@@ -116,14 +117,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
                 g, n = np.unique(np.concatenate(grams), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    grams = cut(chosen.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    grams = cut(chosen.mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     lasting = grams.join(F.broadcast(totals), "lang").where((F.col("n") >= F.col("total") * LEAST_SHARE) & (F.col("n") > 1)).select("lang", "gram").toPandas()  # at most 1 / LEAST_SHARE a language
     return Filters({language: rows["gram"].to_numpy(np.uint64) for language, rows in lasting.groupby("lang")})
 
 
 def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred, score (the language's part of all rates), rate and n_grams. und: null text, or no letter, or nothing learned."""
+    """The kept columns of every row with lang_pred, score (the language's part of all rates), rate and n_grams. und: null text, or no letter, or nothing learned.
+
+    Of equal rates the first language by name is predicted; a text of which no n-gram is known has equal rates.
+    """
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(filters)  # of fixed size: SLOTS words for each 64 languages
@@ -138,7 +142,7 @@ def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64())], [*names, "lang_pred", "score", "rate", "n_grams"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in names)
-    return kept.mapInArrow(run, schema + ", lang_pred string, score double, rate double, n_grams long")
+    return kept.mapInArrow(lean(run), schema + ", lang_pred string, score double, rate double, n_grams long")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
@@ -148,6 +152,10 @@ def op9_language_id(spark, sf_dir: str) -> DataFrame:
 
 @guarded
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in a learned language."""
+    """Keeps the documents in a learned language: those with a prediction (null texts and texts without letters have none) of which LEAST_RATE of the n-grams are known.
+
+    Texts of fewer than LONG n-grams are kept with any rate: so few can miss by chance what a longer text of the language would contain.
+    Every row is judged by its own text, so repeated rows stay or go together.
+    """
     names = docs.columns
     return identify(docs, fit(docs), tuple(names)).where((F.col("lang_pred") != "und") & ((F.col("rate") >= LEAST_RATE) | (F.col("n_grams") < LONG))).select(*names)

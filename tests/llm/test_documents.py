@@ -85,6 +85,35 @@ def test_op9_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in found.values())
 
 
+def test_op9_rates_by_hand(spark, monkeypatch):
+    """Rates and scores against exact sets of n-grams: the filter may only differ by its false hits, whose mean is taken off."""
+    learned: dict = {}
+
+    made = langid.Filters
+    monkeypatch.setattr(langid, "Filters", lambda grams: learned.update(grams) or made(grams))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    filters = langid.fit(docs)
+    monkeypatch.undo()
+    rows = langid.identify(docs, filters, ("doc_id", "text")).collect()
+    exact = {k: set(map(int, v)) for k, v in learned.items()}
+    assert len(exact) > 1
+    for r in rows:
+        grams = [int.from_bytes(langid.signs(r["text"])[i : i + 4], "little") for i in range(len(langid.signs(r["text"])) - 3)]
+        shares = {k: sum(g in v for g in grams) / max(len(grams), 1) for k, v in exact.items()}
+        best = max(shares.values())
+        assert r["n_grams"] == len(grams) and abs(shares[r["lang_pred"]] - best) < 0.02
+        assert abs(r["rate"] - shares[r["lang_pred"]]) < 0.02 and abs(r["score"] - shares[r["lang_pred"]] / max(sum(shares.values()), 1e-9)) < 0.03
+
+
+def test_op9_never_learns_from_held_out_or_unnamed_documents(spark):
+    held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 == 2)
+    free = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2][:4]
+    rows = [(held, "zzzz yyyy zzzz yyyy", "z"), (None, "qqqq rrrr qqqq rrrr", "q"), (free[0], "aaaa bbbb aaaa bbbb", "a"), (free[0], "cccc aaaa cccc aaaa", "a"), (free[1], "dddd eeee dddd eeee", "d"), (free[2], None, "n"), (free[3], "ffff", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df).languages == ["a", "d"]
+    assert {(r["doc_id"], r["held"]) for r in df.select("doc_id", langid.held_out().alias("held")).collect()} == {(r[0], r[0] == held) for r in rows}
+
+
 def test_op9_on_odd_rows(odd, empty):
     assert langid.identify(empty, langid.fit(empty)).count() == 0
     rows = langid.identify(odd, langid.fit(odd)).collect()
