@@ -1,5 +1,8 @@
 import hashlib
+import io
 import struct
+import time
+import zipfile
 import zlib
 
 import pytest
@@ -62,6 +65,55 @@ def test_validators_confirm_and_carve():
     assert [x[:3] for x in media.sniff(b"ab" + gif + b"cd", magics)] == [("gif", 2, 2 + len(gif))]
 
 
+def ogg_page(first: bool, body: bytes) -> bytes:
+    return b"OggS\0" + bytes([2 if first else 0]) + bytes(20) + bytes([1, len(body)]) + body
+
+
+def zipped(comment: bytes = b"") -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "text")
+        z.writestr("b.txt", "more")
+        z.comment = comment
+    return out.getvalue()
+
+
+def pdf(shift: int = 0) -> bytes:
+    head = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    return head + b"xref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF\n" % (len(head) + shift)
+
+
+FLAC = b"fLaC\x00\x00\x00\x22" + bytes(34) + b"\x84\x00\x00\x02ab" + b"\xff\xf8 frames"
+
+
+@pytest.mark.parametrize("kind,medium", [("ogg", ogg_page(True, b"ab") + ogg_page(False, b"cd")), ("zip", zipped()), ("zip", zipped(b"a comment")), ("pdf", pdf()[:-1])])
+def test_structure_and_lengths_of_embedded_media(kind, medium):
+    magics = media.automaton()
+    assert [x[:3] for x in media.sniff(b"before " + medium + b" after", magics)] == [(kind, 7, 7 + len(medium))]
+    twice = [(kind, 0, 2 * len(medium))] if kind == "ogg" else [(kind, 0, len(medium)), (kind, len(medium), 2 * len(medium))]  # streams may be chained
+    assert [x[:3] for x in media.sniff(medium + medium, magics)] == twice
+    assert all(x[2] < len(medium) for x in media.sniff(medium[:-1], magics))  # cut off: at most a shorter one
+
+
+def test_wrong_structures_are_no_media():
+    magics = media.automaton()
+    assert [x[:3] for x in media.sniff(b"xx" + FLAC, magics)] == [("flac", 2, 2 + len(FLAC))] and media.sniff(FLAC.replace(b"\xff\xf8", b"no"), magics) == []
+    assert media.sniff(pdf(5), magics) == [] and media.sniff(b"%PDF-1.4 and nothing %%EOF", magics) == []
+    whole = zipped()
+    assert media.sniff(whole.replace(b"PK\x01\x02", b"PKxx"), magics) == [] and media.sniff(b"PK\x03\x04 text PK\x05\x06" + bytes(18), magics) == []
+    riff = bytearray(media.to_wav(media.pad(b"abc")))
+    riff[40:44] = struct.pack("<I", 65)  # more samples than the file holds
+    assert media.sniff(bytes(riff), magics) == []
+
+
+@pytest.mark.parametrize("unit", [ogg_page(True, b""), b"GIF89a" + bytes(7) + b"!\xfe\x00", b"%PDF-", b"PK\x03\x04", b"RIFF\xff\xff\x00\x00WAVEjunk\x00\x00\x00\x00", b"fLaC\x00\x00\x00\x22", b"\x89PNG\r\n\x1a\n\0\0\0\0IHDR"])
+def test_hostile_bytes_take_linear_time(unit):
+    magics, data = media.automaton(), unit * (1_500_000 // len(unit))
+    began = time.process_time()
+    media.sniff(data, magics)
+    assert time.process_time() - began < 10
+
+
 def test_declared_types_are_corrected(spark):
     rows = spark.createDataFrame([(1, 0, png(), "gif"), (2, 0, b"text", "png"), (3, 0, b"text", "txt"), (4, 0, None, None)], "doc_id long, n_bytes long, media binary, said string")
     assert {r["doc_id"]: r["kind"] for r in media.sniff_media(rows, "said").collect()} == {1: "png", 2: None, 3: "txt", 4: None}
