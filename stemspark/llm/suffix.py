@@ -7,10 +7,10 @@ of the corpus would move many times its size, so suffixes meet in buckets:
   with the same least hash is a unit. Equal units collapse, first within a group of documents, then within the bucket of the hash.
   Where a unit also occurs in a smaller document, all its windows are repeats;
 - units of the same least hash but other bytes may still share windows (the ends of a passage). Only those send their bytes. The
-  windows in a bucket are put in suffix order; neighbours that agree in `length` bytes form runs, and the previous and next smaller
-  document of a run give the earlier match, i.e. whether the longest previous factor reaches `length`.
+  suffixes in a bucket are put in order with the common prefixes of neighbours; the previous and next smaller positions, by document,
+  give each suffix its longest previous factor. A suffix whose factor reaches `length` is a repeat.
 
-Documents are grouped by a hash of their doc_id and read three times from one shuffle of the texts; all else that moves is hashes,
+Documents are grouped by a hash of their doc_id and text and read three times from one shuffle of the texts; all else that moves is hashes,
 index lists and the bytes of differing units.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded, prepare, read_documents, whole_text
+from .common import guarded, lean_cogroup, lean_group, prepare, read_documents, whole_text
 
 LENGTH, GRAM, RUN = 50, 16, 48
 #: Bytes of text a group of documents has, and the most that are hashed at once.
@@ -199,26 +199,58 @@ def send_bytes(buckets: int):
     return run
 
 
-def previous_factor_reaches(data: np.ndarray, start: np.ndarray, doc: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Whether the suffix at each start shares `length` bytes with one of a smaller document.
-
-    The suffixes are ordered by their first `length` bytes. Runs of neighbours with that common prefix are scanned from both ends
-    for a smaller document, previous and next in the order.
-    """
-    if not len(start):
-        return np.zeros(0, bool)
-    suffixes = np.lib.stride_tricks.sliding_window_view(data, length)[start]
+def suffix_order(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at `start` in order, by `length` bytes each, and the common prefix of each with the one before (0 for the first)."""
     words = np.zeros((len(start), -(-length // 8) * 8), np.uint8)
-    words[:, :length] = suffixes
+    words[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[start]
     words = words.view(">u8").astype(np.uint64)
     order = np.lexsort(words.T[::-1])
+    words = words[order]
+    common, equal = np.zeros(len(start), np.int64), np.ones(len(start) - 1, bool)
+    for k in range(words.shape[1]):
+        differ = words[1:, k] ^ words[:-1, k]
+        here = np.flatnonzero(equal & (differ > 0))
+        equal[here] = False
+        common[here + 1] = 8 * k + sum((differ[here] >> np.uint64(s) == 0).astype(np.int64) for s in range(8, 64, 8))
+        if not equal.any():
+            break
+    common[np.flatnonzero(equal) + 1] = length
+    return order, common
+
+
+def common_with_smaller(rank: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """By place in suffix order, the common prefix with the previous smaller position: the nearest place before of a smaller rank.
+
+    common: of each place with the one before. All places look at once; one whose candidate isn't smaller goes on to that one's own
+    candidate, so that distances double. Common prefixes under `least` are given up and returned as 0.
+    """
+    to, common = np.arange(len(rank)) - 1, common.copy()
+    open_ = np.flatnonzero(common >= least)
+    open_ = open_[rank[to[open_]] >= rank[open_]]
+    while len(open_):
+        at = to[open_]
+        further, shared = to[at], np.minimum(common[open_], common[at])
+        to[open_], common[open_] = further, shared
+        open_ = open_[shared >= least]
+        open_ = open_[rank[to[open_]] >= rank[open_]]
+    common[common < least] = 0
+    return common
+
+
+def longest_previous_factors(data: np.ndarray, start: np.ndarray, doc: np.ndarray, length: int = LENGTH, least: int | None = None) -> np.ndarray:
+    """How many bytes, up to `length`, the suffix at each start shares with one of a smaller document; fewer than `least` count as 0.
+
+    The longest such prefix is shared with the nearest suffix of a smaller document, before or after in suffix order.
+    """
+    if not len(start):
+        return np.zeros(0, np.int64)
+    least = length if least is None else least
+    order, common = suffix_order(data, start, length)
     rank = np.unique(doc, return_inverse=True)[1].astype(np.int64)[order]
-    fresh = np.concatenate([[True], (words[order][1:] != words[order][:-1]).any(1)])
-    run, many = np.cumsum(fresh), len(start) + 1
-    previous = np.minimum.accumulate(rank - run * many) + run * many  # of the run so far
-    following = np.minimum.accumulate((rank + run * many)[::-1])[::-1] - run * many
-    out = np.empty(len(start), bool)
-    out[order] = (previous < rank) | (following < rank)
+    before = common_with_smaller(rank, common, least)
+    after = common_with_smaller(rank[::-1], np.concatenate([[0], common[:0:-1]]), least)[::-1]
+    out = np.empty(len(start), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -239,7 +271,7 @@ def meet_bytes(table: pa.Table) -> pa.Table:
     size, doc = np.concatenate(size), np.concatenate(doc)
     windows, begin = size - LENGTH + 1, np.cumsum(size) - size
     nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    hit = previous_factor_reaches(np.frombuffer(b"".join(data), np.uint8), np.repeat(begin, windows) + nth, np.repeat(doc, windows))
+    hit = longest_previous_factors(np.frombuffer(b"".join(data), np.uint8), np.repeat(begin, windows) + nth, np.repeat(doc, windows)) >= LENGTH
     masks = np.add.reduceat(hit.astype(np.uint64) << nth.astype(np.uint64), np.cumsum(windows) - windows)
     out, at = [], 0
     for r, place, n in zip(rows, places, counts, strict=True):
@@ -295,20 +327,21 @@ def suffix_dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, pass_on: tuple
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) of every row, and the columns passed on, as _0, _1 and so on.
 
     Null text is empty; a null doc_id is larger than any, and rows with the same doc_id don't remove from one another. Of a tie
-    nothing goes: only a strictly smaller doc_id removes.
+    nothing goes: only a strictly smaller doc_id removes. An empty table gives no rows. Rows without a doc_id, or that share one, are
+    grouped by their texts; only rows that repeat both, and the parts of one text, must meet in a task.
     """
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(pass_on)))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_bytes))
-    own = texts.withColumn("bid", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "bid")
+    own = texts.withColumn("bid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "bid")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + "".join(f", _{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(pass_on))
-    units = own.groupBy("bid").applyInArrow(send_units(n), SCHEMA)
-    met = units.repartition(n, "key").groupBy("key").applyInArrow(meet_units, SCHEMA)
-    sent = own.groupBy("bid").cogroup(met.repartition(n, "bid").groupBy("bid")).applyInArrow(send_bytes(n), SCHEMA)
-    found = sent.repartition(n, "key").groupBy("key").applyInArrow(meet_bytes, SCHEMA)
-    return own.groupBy("bid").cogroup(found.repartition(n, "bid").groupBy("bid")).applyInArrow(removed_runs(n, len(pass_on)), schema)
+    units = own.groupBy("bid").applyInArrow(lean_group(send_units(n)), SCHEMA)
+    met = units.repartition(n, "key").groupBy("key").applyInArrow(lean_group(meet_units), SCHEMA)
+    sent = own.groupBy("bid").cogroup(met.repartition(n, "bid").groupBy("bid")).applyInArrow(lean_cogroup(send_bytes(n)), SCHEMA)
+    found = sent.repartition(n, "key").groupBy("key").applyInArrow(lean_group(meet_bytes), SCHEMA)
+    return own.groupBy("bid").cogroup(found.repartition(n, "bid").groupBy("bid")).applyInArrow(lean_cogroup(removed_runs(n, len(pass_on))), schema)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
