@@ -145,12 +145,21 @@ def circumference(r) -> Column:
     return F.lit(2.0) * F.pi() * number(r)
 
 
+def first_score(inliers, coverage, upright, slices, r, residual):
+    """Of numbers or Columns; upright is 0.1 at least."""
+    return inliers * (0.4 + coverage) * upright * (slices / 5) / ((0.04 + r) * (1 + 8 * residual))
+
+
+def final_score(inliers, coverage, slices, r, residual):
+    return inliers * (0.35 + coverage) * (slices / 5) / ((0.04 + r) * (1 + 12 * residual))
+
+
 def first_quality(inliers, coverage, verticality, slices, r, residual) -> Column:
-    return number(inliers) * (0.4 + number(coverage)) * F.greatest(number(verticality), F.lit(0.1)) * (number(slices) / 5) / ((0.04 + number(r)) * (1 + 8 * number(residual)))
+    return first_score(number(inliers), number(coverage), F.greatest(number(verticality), F.lit(0.1)), number(slices), number(r), number(residual))
 
 
 def final_quality(inliers, coverage, slices, r, residual) -> Column:
-    return number(inliers) * (0.35 + number(coverage)) * (number(slices) / 5) / ((0.04 + number(r)) * (1 + 12 * number(residual)))
+    return final_score(number(inliers), number(coverage), number(slices), number(r), number(residual))
 
 
 def rotate(x, y, z, yaw: float, pitch: float) -> list[Column]:

@@ -164,11 +164,18 @@ def query_link(base: str, tree_id="tree_id") -> Column:
 
 
 def link_tree(url) -> Column:
-    return F.url_decode(F.parse_url(number(url), F.lit("QUERY"), F.lit("tree")))
+    """The key a link names; null if there is none, or if the link or its escapes are broken."""
+    return F.try_url_decode(F.try_parse_url(number(url), F.lit("QUERY"), F.lit("tree")))
 
 
 def utc_stamp(ts) -> Column:
-    return F.date_format(number(ts), "yyyyMMdd'T'HHmmss'Z'")
+    """Whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(number(ts), F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")
+
+
+def shown(*columns: str) -> Column:
+    """The first that is there, for display."""
+    return F.coalesce(*columns)
 
 
 def optional_text(column, default: str = "") -> Column:
@@ -176,7 +183,15 @@ def optional_text(column, default: str = "") -> Column:
 
 
 def safe_path(url) -> Column:
-    """A relative path from a URL path: leading slashes go; null if missing, empty, or if a part climbs out."""
-    p = F.regexp_replace(number(url), "^/+", "")
-    up = F.exists(F.split(p, "/"), lambda s: s == "..")
-    return F.when((p != "") & ~up, p)
+    """A relative path from a URL path: leading slashes go, `.` and `..` are resolved; null if missing, empty, or if a part climbs out."""
+    parts = F.filter(F.split(F.regexp_replace(number(url), "^/+", ""), "/"), lambda s: ~s.isin("", "."))
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.lit(True).alias("ok"))
+    up = lambda s: F.struct(F.slice(s["path"], 1, F.greatest(F.size(s["path"]) - 1, F.lit(0))).alias("path"), (s["ok"] & (F.size(s["path"]) > 0)).alias("ok"))
+    down = lambda s, x: F.struct(F.concat(s["path"], F.array(x)).alias("path"), s["ok"].alias("ok"))
+    found = F.aggregate(parts, start, lambda s, x: F.when(x == "..", up(s)).otherwise(down(s, x)))
+    return F.when(found["ok"] & (F.size(found["path"]) > 0), F.array_join(found["path"], "/"))
+
+
+def decoded_path(url) -> Column:
+    """safe_path of a path with percent escapes, decoded before it is judged; null if they are broken."""
+    return safe_path(F.try_url_decode(F.replace(number(url), F.lit("+"), F.lit("%2B"))))

@@ -27,6 +27,25 @@ def shifted_colours(points: DataFrame) -> DataFrame:
     return points.crossJoin(F.broadcast(most)).withColumns({c: F.when(F.col("_most") > 255, F.shiftright(c, 8)).otherwise(F.col(c)) for c in ("r", "g", "b")}).drop("_most")
 
 
+def sampled_cloud(points: DataFrame) -> DataFrame:
+    """recentred and shifted_colours in one pass over the points for both: the extent and the largest colour are one row, which is broadcast."""
+    facts = points.agg(*(((F.min(c) + F.max(c)) / 2).alias(f"_{c}") for c in "xyz"), F.max(F.greatest("r", "g", "b")).alias("_most"))
+    wide = points.crossJoin(F.broadcast(facts))
+    moved = {c: (F.col(c) - F.col(f"_{c}")).cast("float") for c in "xyz"} | {c: F.when(F.col("_most") > 255, F.shiftright(c, 8)).otherwise(F.col(c)) for c in "rgb"}
+    return wide.withColumns(moved).drop("_x", "_y", "_z", "_most")
+
+
+def alignment(preview: DataFrame, full: DataFrame) -> DataFrame:
+    """One row: what moves a recentred preview to the full cloud, from the first point of both (point_index 0)."""
+    first = lambda points, p: points.where("point_index = 0").select(*(F.col(c).cast("double").alias(p + c) for c in "xyz"))
+    return first(full, "f").crossJoin(F.broadcast(first(preview, "p"))).select(*((F.col(f"f{c}") - F.col(f"p{c}")).alias(f"d{c}") for c in "xyz"))
+
+
+def aligned(preview: DataFrame, full: DataFrame) -> DataFrame:
+    """The preview in the full cloud's coordinates; the one row of the alignment is broadcast."""
+    return preview.crossJoin(F.broadcast(alignment(preview, full))).withColumns({c: F.col(c).cast("double") + F.col(f"d{c}") for c in "xyz"}).drop("dx", "dy", "dz")
+
+
 def bounding_sphere(points: DataFrame) -> DataFrame:
     """Centre of the box, and the largest distance from it."""
     box = points.agg(*(((F.min(c) + F.max(c)) / 2).alias(f"centre_{c}") for c in ("x", "y", "z")))
@@ -82,14 +101,27 @@ def crown_metrics(points: DataFrame, keys: list[str], cell: float = 0.04) -> Dat
     return stats.join(cells.groupBy(*keys).applyInPandas(hull, schema), keys)
 
 
+def offset_from_trunk(metrics: DataFrame, x: float, y: float) -> DataFrame:
+    """How far each crown's centroid is from a trunk, and by which east and north parts."""
+    dx, dy = F.col("centroid_x") - x, F.col("centroid_y") - y
+    return metrics.withColumns({"offset_x": dx, "offset_y": dy, "offset": F.hypot(dx, dy)})
+
+
 def largest_component(cells: DataFrame) -> DataFrame:
-    """ix, iy of the largest 8-connected set of occupied cells: labels spread to neighbours until they settle."""
-    grid = cells.select("ix", "iy").distinct().withColumn("label", F.struct("iy", "ix"))
+    """ix, iy of the largest 8-connected set of occupied cells; of equal sizes the one with the smallest (iy, ix).
+
+    A round takes the least label of the neighbours, and then that of the cell so named, so that labels travel in doubling steps.
+    """
+    here = F.struct("iy", "ix")
+    grid = settled(cells.select("ix", "iy").distinct().withColumn("label", here))
     offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     before = None
     while True:
         spread = grid.withColumn("o", F.explode(offsets)).select((F.col("ix") + F.col("o.i")).alias("ix"), (F.col("iy") + F.col("o.j")).alias("iy"), "label")
-        grid = settled(spread.groupBy("ix", "iy").agg(F.min("label").alias("label")).join(grid.select("ix", "iy"), ["ix", "iy"]))
+        met = settled(spread.groupBy("ix", "iy").agg(F.min("label").alias("label")).join(grid.select("ix", "iy"), ["ix", "iy"]))
+        # the cell that a label names may know a smaller one by now, and so may each cell that bore the old label
+        named = met.select(here.alias("label"), F.col("label").alias("further"))
+        grid = settled(met.join(named, "label", "left").select("ix", "iy", F.least("label", F.coalesce("further", "label")).alias("label")))
         now = grid.agg(F.sum(F.xxhash64("ix", "iy", "label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             best = grid.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1)

@@ -86,17 +86,18 @@ def local_maxima(score: DataFrame, spacing: int = 4, threshold: float = 0.0) ->
     reach = high.withColumn("o", F.explode(offsets)).select((F.col("iy") + F.col("o.i")).alias("iy"), (F.col("ix") + F.col("o.j")).alias("ix"), F.col("score").alias("other"))
     best = reach.groupBy("iy", "ix").agg(F.max("other").alias("best"))
     peaks = settled(high.join(best, ["iy", "ix"]).where(F.col("score") == F.col("best")).select("iy", "ix", "score"))
-    kept = None
-    open_ = peaks
+    kept, open_ = None, peaks.withColumns({"by": F.floor(F.col("iy") / (spacing + 1)), "bx": F.floor(F.col("ix") / (spacing + 1))})
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+
+    def near(rows, others):
+        """Rows with the others of the same score within the spacing: by blocks of that width, so that a common score is no key of its own."""
+        spread = others.withColumn("o", F.explode(around)).select((F.col("by") + F.col("o.i")).alias("by"), (F.col("bx") + F.col("o.j")).alias("bx"), "score", F.col("iy").alias("oy"), F.col("ix").alias("ox"))
+        return rows.join(spread, ["by", "bx", "score"]).where((F.abs(F.col("iy") - F.col("oy")) <= spacing) & (F.abs(F.col("ix") - F.col("ox")) <= spacing))
+
     while True:  # only equal scores can still be close to one another
-        a, b = open_.alias("a"), open_.alias("b")
-        near = (F.abs(F.col("a.iy") - F.col("b.iy")) <= spacing) & (F.abs(F.col("a.ix") - F.col("b.ix")) <= spacing)
-        first = (F.col("b.iy") < F.col("a.iy")) | ((F.col("b.iy") == F.col("a.iy")) & (F.col("b.ix") < F.col("a.ix")))
-        losers = a.join(b, (F.col("a.score") == F.col("b.score")) & near & first).select("a.iy", "a.ix").distinct()
-        won = settled(open_.join(losers, ["iy", "ix"], "left_anti"))
-        kept = won if kept is None else kept.union(won)
-        w = won.alias("w")
-        beaten = open_.alias("a").join(w, (F.col("a.score") == F.col("w.score")) & (F.abs(F.col("a.iy") - F.col("w.iy")) <= spacing) & (F.abs(F.col("a.ix") - F.col("w.ix")) <= spacing)).select("a.iy", "a.ix").distinct()
-        open_ = settled(open_.join(beaten, ["iy", "ix"], "left_anti"))
+        first = (F.col("oy") < F.col("iy")) | ((F.col("oy") == F.col("iy")) & (F.col("ox") < F.col("ix")))
+        won = settled(open_.join(near(open_, open_).where(first).select("iy", "ix").distinct(), ["iy", "ix"], "left_anti"))
+        kept = won if kept is None else kept.unionByName(won)
+        open_ = settled(open_.join(near(open_, won).select("iy", "ix").distinct(), ["iy", "ix"], "left_anti"))
         if open_.isEmpty():
-            return kept
+            return kept.select("iy", "ix", "score")

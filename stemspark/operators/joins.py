@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes up to which a small side is broadcast; above it the join shuffles. Spark's own statistics decide.
+from ..lineage import settled
+
 NEIGHBOURS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
 
@@ -27,11 +28,33 @@ def nearest_owner(cells: DataFrame, seeds: DataFrame, key="seed_id", cx="cell_x"
     """iy, ix, owner, distance of every cell: its nearest seed, ties to the smaller key.
 
     reach: how far an owner matters; cells with none within it have no row, and the join is by cells of that width. Without it every
-    cell meets every seed, which is meant for a grid of fixed size and few seeds.
+    cell has an owner, and the reach doubles until all have found one.
     """
-    pairs = radius_join(seeds, cells, reach, sx, sy, cx, cy) if reach else cells.crossJoin(seeds)
+    if reach:
+        return _nearest_within(cells, seeds, key, cx, cy, sx, sy, reach)
+    box = seeds.select(F.col(sx).alias("x"), F.col(sy).alias("y")).unionByName(cells.select(F.col(cx).alias("x"), F.col(cy).alias("y"))).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    n = seeds.count()
+    if not n or not any(box):
+        return _nearest_within(cells, seeds, key, cx, cy, sx, sy, 1.0)
+    reach, open_, found = max(box) / max(1.0, n**0.5), cells.select("iy", "ix", cx, cy), None
+    while True:
+        here = settled(_nearest_within(open_, seeds, key, cx, cy, sx, sy, reach))
+        found = here if found is None else found.unionByName(here)
+        open_ = settled(open_.join(here, ["iy", "ix"], "left_anti"))
+        if open_.isEmpty():
+            return found
+        reach *= 2
+
+
+def _nearest_within(cells: DataFrame, seeds: DataFrame, key, cx, cy, sx, sy, reach: float) -> DataFrame:
     d2 = (F.col(cx) - F.col(sx)) ** 2 + (F.col(cy) - F.col(sy)) ** 2
-    return pairs.withColumn("_d2", d2).groupBy("iy", "ix").agg(F.min(F.struct("_d2", key)).alias("_m")).select("iy", "ix", F.col(f"_m.{key}").alias("owner"), F.sqrt("_m._d2").alias("distance"))
+    near = radius_join(seeds, cells, reach, sx, sy, cx, cy).withColumn("_d2", d2)
+    return near.groupBy("iy", "ix").agg(F.min(F.struct("_d2", key)).alias("_m")).select("iy", "ix", F.col(f"_m.{key}").alias("owner"), F.sqrt("_m._d2").alias("distance"))
+
+
+def unique_owners(owned: DataFrame) -> DataFrame:
+    """The owners that have any point."""
+    return owned.select("owner").distinct()
 
 
 def owned_points(points: DataFrame, owners: DataFrame) -> DataFrame:

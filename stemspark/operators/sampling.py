@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import settled
+
 
 def stride_sample(points: DataFrame, step: int, index: str = "point_index") -> DataFrame:
     """Every step-th point from index 0; a filter, since sources number their points."""
@@ -27,6 +29,24 @@ def stride_in_groups(rows: DataFrame, keys: list[str], most: int, order: str) ->
     return numbered.where(F.col("_rn") % F.ceil(F.col("_n") / most) == 0).drop("_rn", "_n")
 
 
+def numbered(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """1-based place in a total order, without a task that sees all rows: ranges of the order, places within them, and the rows before each.
+
+    Only one count a range reaches the driver. The ranges are written once, so that counts and places see the same rows.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = settled(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    before, total = {}, 0
+    for r in sorted(ranges.groupBy("_range").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_range"]):  # a row a range
+        before[r["_range"]], total = total, total + r["n"]
+    if not before:
+        return ranges.withColumn(name, F.lit(0).cast("long")).drop("_range")
+    start = F.create_map(*(F.lit(x) for item in before.items() for x in item))[F.col("_range")]
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn(name, (place + start).cast("long")).drop("_range")
+
+
 def ranked(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """1-based place in a total order of a small table of results, such as stems."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """numbered, with places as int, for results such as stems."""
+    placed = numbered(rows, order, name)
+    return placed.withColumn(name, F.col(name).cast("int"))

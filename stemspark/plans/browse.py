@@ -68,6 +68,19 @@ def facet_counts(index: DataFrame, facets=MAIN_FACETS) -> DataFrame:
     return counts.select(F.explode(F.create_map(*(x for k in facets for x in (F.lit(k), F.col(k))))).alias("facet", "n"))
 
 
+def _ids(index: DataFrame, facet: str) -> DataFrame:
+    return index.where({**REVIEW_FACETS, **MAIN_FACETS, "EXCLUDED_STATUS": REVIEW_FACETS["EXCLUDED"]}[facet]()).select("tree_id")
+
+
+def only_in(index: DataFrame, facet: str, other: str) -> DataFrame:
+    """The distinct ids in one facet but not in another."""
+    return _ids(index, facet).subtract(_ids(index, other))
+
+
+def in_both(index: DataFrame, facet: str, other: str) -> DataFrame:
+    return _ids(index, facet).intersect(_ids(index, other))
+
+
 def selected(index: DataFrame, tree_id: str | None, any_case: bool = True) -> DataFrame:
     """The record of a key, else the first in file order."""
     key = F.lit(tree_id).cast("string")

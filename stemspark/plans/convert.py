@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.clouds import recentred, shifted_colours
+from ..operators.clouds import sampled_cloud
 from ..sources import sinks
-from ..sources.las import checked_header, read_las
+from ..sources.las import read_las, total_points
 
 
 def sample_las(spark: SparkSession, path: str, max_points: int = 1_000_000) -> tuple[DataFrame, dict]:
     """The recentred sample and what its metadata says of the source."""
     if max_points < 1:
         raise ValueError("max_points must be at least 1")
-    n = checked_header(path)["point_count"]
+    n = total_points(path)
     step = max(1, -(-n // max_points))
-    points = shifted_colours(recentred(read_las(spark, path, step=step)))
+    points = sampled_cloud(read_las(spark, path, step=step))
     return points.withColumn("sample_index", F.floor(F.col("point_index") / step)), {"source": path.rsplit("/", 1)[-1], "sourcePointCount": n, "samplingStride": step, "points": -(-n // step)}
 
 

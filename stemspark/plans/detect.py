@@ -13,6 +13,7 @@ from ..lineage import settled
 from ..operators import fits, grid, nms
 from ..operators.joins import nearest_owner, owned_points, radius_join
 from ..operators.sampling import ranked
+from ..sources import sinks
 
 #: Fixed values of the method: ground height, raster cell, height bands, slice heights in centimetres, random seed.
 GROUND, CELL = -6.68, 0.08
@@ -77,7 +78,7 @@ def evaluate(group: pd.DataFrame) -> pd.DataFrame:
     spread, cv = float(np.hypot(*(centres - np.median(centres, axis=0)).T).max()), _cv(slices)
     if spread > 0.14 or cv > 0.38:
         return nothing
-    quality = breast["inliers"] * (0.4 + breast["coverage"]) * max(upright, 0.1) * (len(slices) / 5) / ((0.04 + breast["r"]) * (1 + 8 * breast["residual"]))
+    quality = geo.first_score(breast["inliers"], breast["coverage"], max(upright, 0.1), len(slices), breast["r"], breast["residual"])
     row = {"id": key, "ground": ground, "verticality": upright, "slice_count": len(slices), "centre_spread": spread, "radius_cv": cv, "quality": quality} | {k: breast[k] for k in ("cx", "cy", "r", "inliers", "coverage", "residual")}
     return pd.DataFrame([row])
 
@@ -140,7 +141,7 @@ def refine(group: pd.DataFrame) -> pd.DataFrame:
     breast = _breast(across, 4)
     if not breast or _cv(across) > 0.24:
         return nothing
-    quality = breast["inliers"] * (0.35 + breast["coverage"]) * (len(across) / 5) / ((0.04 + breast["r"]) * (1 + 12 * breast["residual"]))
+    quality = geo.final_score(breast["inliers"], breast["coverage"], len(across), breast["r"], breast["residual"])
     row = {"id": key, "slice_count": len(across), "centre_spread": off, "radius_cv": _cv(across), "quality": quality, "axis_x": axis[0], "axis_y": axis[1], "axis_z": axis[2]} | {k: breast[k] for k in ("cx", "cy", "cz", "r", "inliers", "coverage", "residual")}
     return pd.DataFrame([row])[[c.split()[0] for c in REFINED.split(", ")]]
 
@@ -172,3 +173,9 @@ def detect(spark: SparkSession, sample: DataFrame, full: DataFrame | None = None
     # verticality and ground stay those of the sample
     stems = settled(refined.join(found.select("id", "ground", "verticality"), "id"))
     return stem_records(nms.suppress(stems))
+
+
+def publish_stems(spark: SparkSession, stems: DataFrame, path: str, facts: dict[str, str]) -> None:
+    """The published document: facts, the number of stems, and the stems by tree_id. Stems are a table of results, thousands at most."""
+    rows = stems.agg(F.count("*").cast("int").alias("tree_count"), F.array_sort(F.collect_list(F.struct("tree_id", *(c for c in stems.columns if c != "tree_id")))).alias("trees"))
+    sinks.publish_json(rows.select(*(F.lit(v).alias(k) for k, v in facts.items()), "tree_count", "trees"), path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import js_round, js_round_all
 from ..functions.labels import safe_path, yes
+from ..operators.sampling import numbered
 from ..sources import sinks
 from ..sources.documents import read_markings, read_records
 
@@ -15,11 +16,11 @@ ROUNDED = {"measurement_height_agl_m": 3, "field_aid_measurement_height_agl_m":
 FLAGS = ("protocol_resolved", "field_aid_is_current_protocol_final", "operationally_excluded", "field_verified")
 COUNTS = ("point_count", "inlier_count")
 FIELDS = (
-    "tree_id marking_url detection_status identity_review_status protocol_applicability protocol_resolved measurement_kind measurement_height_agl_m field_aid_measurement_height_agl_m"
-    " field_aid_status field_aid_source field_aid_is_current_protocol_final field_aid_circumference_cm field_aid_diameter_cm field_aid_dbh_cm legacy_full_resolution_status"
-    " legacy_measurement_rule legacy_circumference_cm acceptance_status geometric_status fit_model point_count inlier_count angular_coverage_deg axis_source axis_status"
-    " axis_uncertainty_m operationally_excluded operational_exclusion_decision field_verified qa_reason_codes"
-).split()
+    "tree_id", "marking_url", "detection_status", "identity_review_status", "protocol_applicability", "protocol_resolved", "measurement_kind", "measurement_height_agl_m", "field_aid_measurement_height_agl_m",
+    "field_aid_status", "field_aid_source", "field_aid_is_current_protocol_final", "field_aid_circumference_cm", "field_aid_diameter_cm", "field_aid_dbh_cm", "legacy_full_resolution_status",
+    "legacy_measurement_rule", "legacy_circumference_cm", "acceptance_status", "geometric_status", "fit_model", "point_count", "inlier_count", "angular_coverage_deg", "axis_source", "axis_status",
+    "axis_uncertainty_m", "operationally_excluded", "operational_exclusion_decision", "field_verified", "qa_reason_codes",
+)
 SHOWN = ("READY_FOR_FIELD_USE", "CHECK_ON_SITE")
 
 
@@ -49,15 +50,30 @@ def compact(joined: DataFrame) -> DataFrame:
     return rows.select("record_index", *FIELDS, shown.alias("renderable"), "plane", "fit")
 
 
-def build(records: DataFrame, markings: DataFrame) -> DataFrame:
-    """Each record with its marking; one failure fails the whole build and the message lists up to twenty."""
+def matched(records: DataFrame, markings: DataFrame) -> DataFrame:
+    """Each record with its marking (m), and why: what keeps it from having exactly one, else null."""
     left = records.withColumn("marking_path", safe_path("marking_url"))
     keyed = markings.groupBy("marking_path").agg(F.count("*").alias("copies"), F.first(F.struct(*(c for c in markings.columns if c != "marking_path"))).alias("m"))
-    joined = left.join(keyed, "marking_path", "left").persist()
     why = F.when(F.coalesce("marking_url", F.lit("")) == "", "no marking_url").when(F.col("marking_path").isNull(), "unsafe marking path").when(F.col("copies").isNull(), "no marking").when(F.col("copies") > 1, "several markings")
-    failed = joined.withColumn("why", why).where("why IS NOT NULL").orderBy("record_index").select(F.concat_ws(": ", F.coalesce("tree_id", F.lit("?")), "why").alias("t")).limit(20).collect()
-    if failed:
-        raise ValueError("; ".join(r["t"] for r in failed))
+    return left.join(keyed, "marking_path", "left").withColumn("why", why)
+
+
+def failures(records: DataFrame, markings: DataFrame) -> DataFrame:
+    """record_index, tree_id and why of all records without exactly one marking."""
+    return matched(records, markings).where("why IS NOT NULL").select("record_index", F.coalesce("tree_id", F.lit("?")).alias("tree_id"), "why")
+
+
+def build(records: DataFrame, markings: DataFrame, shown: int = 1000) -> DataFrame:
+    """Each record with its marking; one failure fails the whole build. The message gives their number and names the first ones."""
+    joined = matched(records, markings).persist()
+    try:
+        failed = joined.where("why IS NOT NULL")
+        n = failed.count()
+        if n:
+            first = failed.orderBy("record_index").select(F.concat_ws(": ", F.coalesce("tree_id", F.lit("?")), "why").alias("t")).limit(shown).collect()
+            raise ValueError(f"{n} of the records have no single marking: " + "; ".join(r["t"] for r in first) + ("" if n <= shown else f"; and {n - shown} more"))
+    finally:
+        joined.unpersist()
     return compact(joined)
 
 
@@ -71,9 +87,9 @@ def status_counts(records: DataFrame, column: str) -> DataFrame:
     return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(f"{column}_counts"))
 
 
-def ids_where(records: DataFrame, condition: Column, name: str) -> DataFrame:
-    """One row: the sorted tree ids that meet a condition, for a published list."""
-    return records.agg(F.array_sort(F.collect_list(F.when(condition, F.col("tree_id")))).alias(name))
+def ids_where(records: DataFrame, condition: Column) -> DataFrame:
+    """pos, tree_id: the sorted tree ids that meet a condition, as rows, so that a list may be long."""
+    return numbered(records.where(condition).select("tree_id"), ["tree_id"], "pos").withColumn("pos", F.col("pos") - 1)
 
 
 def document(index: DataFrame, facts: dict[str, str | bool | None], files: dict[str, str]) -> DataFrame:

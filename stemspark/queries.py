@@ -9,31 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import geometry as geo
 from .functions import labels
-from .operators import clouds, fits, grid, joins, nms, sampling
-from .plans import browse, index, views
+from .operators import clouds, fits, grid, joins, nms, sampling, vectors
+from .plans import browse, index, notes, views
 from .plans.views import SCATTER_SQL, STEM_SQL, scatter_points, stem_points, table
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
-def rounded(column, digits: int = 6):
-    return F.floor(geo.number(column) * F.lit(float(10**digits)) + 0.5).cast("double") / F.lit(float(10**digits))
-
-
-def rounded_sql(expr: str, digits: int = 6) -> str:
-    return f"floor(({expr}) * 1e{digits} + 0.5) / 1e{digits}"
-
+from .registry import ORACLE, QUERIES, query, rounded, rounded_sql
+from .sources import documents
 
 BANDS = ((0.3, 0.7), (0.7, 1.1), (1.1, 1.5), (1.5, 1.9), (1.9, 2.3))
 _BAND = "CASE " + " ".join(f"WHEN hag >= {a}e0 AND hag < {b}e0 THEN {i}" for i, (a, b) in enumerate(BANDS)) + " END"
@@ -175,10 +155,14 @@ def angular_coverage(spark, d):
     return turned.groupBy("stem_id").agg(fits.coverage(geo.angular_bin(-F.sin("a"), -F.cos("a"))).alias("coverage"), F.count("*").alias("n"))
 
 
-@query("circle_fit_moments", f"SELECT stem_id, count(*) AS n, {rounded_sql('any_value(cx)')} AS cx, {rounded_sql('any_value(cy)')} AS cy, {rounded_sql('any_value(r)')} AS r FROM ({STEM_SQL}) GROUP BY stem_id HAVING count(*) >= 3")
+_NOISY = f"SELECT stem_id, x + (point_index % 11 - 5) / 2000e0 AS x, y + (point_index % 13 - 6) / 2000e0 AS y FROM ({_STEM_XY})"
+_MOMENTS = f"WITH p AS ({_NOISY}), m AS (SELECT stem_id, avg(x) AS mx, avg(y) AS my FROM p GROUP BY stem_id), c AS (SELECT stem_id, mx, my, x - mx AS u, y - my AS v FROM p JOIN m USING (stem_id)), s AS (SELECT stem_id, any_value(mx) AS mx, any_value(my) AS my, count(*) AS n, sum(u * u) AS uu, sum(v * v) AS vv, sum(u * v) AS uv, sum(u * (u * u + v * v)) / 2 AS a, sum(v * (u * u + v * v)) / 2 AS b FROM c GROUP BY stem_id HAVING count(*) >= 3), f AS (SELECT *, (a * vv - b * uv) / (uu * vv - uv * uv) AS cu, (b * uu - a * uv) / (uu * vv - uv * uv) AS cv FROM s)"
+
+
+@query("circle_fit_moments", f"{_MOMENTS} SELECT stem_id, n, {rounded_sql('mx + cu')} AS cx, {rounded_sql('my + cv')} AS cy, {rounded_sql('sqrt(cu * cu + cv * cv + (uu + vv) / n)')} AS r FROM f")
 def circle_fit_moments(spark, d):
-    """The points lie on known circles, which the fit must find."""
-    points = _stem_xy(spark, d).select("stem_id", "x", "y")
+    """Points around known circles, off them by up to 3 mm."""
+    points = _stem_xy(spark, d).select("stem_id", (F.col("x") + (F.col("point_index") % 11 - 5) / 2000).alias("x"), (F.col("y") + (F.col("point_index") % 13 - 6) / 2000).alias("y"))
     return fits.circle_from_moments(points, ["stem_id"]).where("n >= 3").select("stem_id", "n", rounded("cx").alias("cx"), rounded("cy").alias("cy"), rounded("r").alias("r"))
 
 
@@ -348,7 +332,7 @@ def status_counts(spark, d):
 
 @query("id_lists", f"SELECT row_number() OVER (ORDER BY tree_id) - 1 AS pos, tree_id FROM ({_RECORDS}) WHERE field_aid_status = 'NO_ESTIMATE'")
 def id_lists(spark, d):
-    return index.ids_where(_records(spark, d), labels.equals("field_aid_status", "NO_ESTIMATE"), "ids").select(F.posexplode("ids").alias("pos", "tree_id")).select(F.col("pos").cast("long").alias("pos"), "tree_id")
+    return index.ids_where(_records(spark, d), labels.equals("field_aid_status", "NO_ESTIMATE"))
 
 
 @query("status_partition_check", f"SELECT count(*) AS listed, count(DISTINCT record_index) AS records FROM ({_RECORDS}) WHERE field_aid_status IS NOT NULL")
@@ -359,14 +343,14 @@ def status_partition_check(spark, d):
     return both.agg(F.count("*").alias("listed"), F.count_distinct("record_index").alias("records"))
 
 
-@query("set_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_difference", f"SELECT tree_id FROM ({_RECORDS}) WHERE {_FACETS['LEGACY']} EXCEPT SELECT tree_id FROM ({_RECORDS}) WHERE field_aid_status = 'EXCLUDED_CONFIRMED_WRONG'")
 def set_difference(spark, d):
-    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").select("o_custkey"))
+    return browse.only_in(_records(spark, d), "LEGACY", "EXCLUDED_STATUS")
 
 
-@query("set_intersection", "SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders")
+@query("set_intersection", f"SELECT tree_id FROM ({_RECORDS}) WHERE {_FACETS['PROP_ROOT']} INTERSECT SELECT tree_id FROM ({_RECORDS}) WHERE {_FACETS['READY']}")
 def set_intersection(spark, d):
-    return table(spark, d, "customer").select("c_custkey").intersect(table(spark, d, "orders").select("o_custkey"))
+    return browse.in_both(_records(spark, d), "PROP_ROOT", "READY")
 
 
 @query("semi_anti_membership", "SELECT c_mktsegment, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS inside, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS outside FROM customer GROUP BY ALL")
@@ -384,7 +368,7 @@ def strict_lookup_join(spark, d):
 
 @query("json_props_extract", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def json_props_extract(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k")).where("k IS NOT NULL")
+    return documents.fields(table(spark, d, "events"), "props", "k BIGINT").where("k IS NOT NULL").select("event_id", "k")
 
 
 @query("js_round_projection", "SELECT o_orderkey, floor(o_totalprice / 7e0 * 100 + 0.5) / 100 AS up, floor(-o_totalprice / 8e0 * 10 + 0.5) / 10 AS down FROM orders")
@@ -392,9 +376,9 @@ def js_round_projection(spark, d):
     return table(spark, d, "orders").select("o_orderkey", geo.js_round(F.col("o_totalprice") / 7, 2).alias("up"), geo.js_round(-F.col("o_totalprice") / 8, 1).alias("down"))
 
 
-@query("top_k_desc", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
+@query("top_k_desc", "SELECT o_orderkey AS id, CAST(o_orderdate AS VARCHAR) AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
 def top_k_desc(spark, d):
-    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey", "o_orderdate").limit(20)
+    return notes.newest(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("string").alias("created_at")))
 
 
 _FITS = "SELECT p_partkey AS k, (p_partkey % 2 = 0) AS ell, p_size / 100e0 AS a, p_size / 200e0 AS b, (p_partkey % 31) / 10e0 AS rot, (p_partkey % 7) / 10e0 AS u0, (p_partkey % 5) / 10e0 AS v0 FROM part"
@@ -463,14 +447,12 @@ def text_fields(spark, d):
     return rows.select("c_custkey", labels.safe_path(url).alias("path"), labels.optional_text(segment).alias("segment"), labels.top_reasons("codes").alias("parts"))
 
 
-@query("embedding_radius_nearest", "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS nearest_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT query_id, arg_min(nearest_id, (dist, nearest_id)) AS nearest_id, floor(min(dist) * 1e3 + 0.5) / 1e3 AS distance FROM p GROUP BY query_id")
-def embedding_radius_nearest(spark, d):
-    """The nearest other vector of each query vector: queries are the ids divisible by 20, whose blocks meet all rows."""
+@query("embedding_nearest", "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS nearest_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT query_id, arg_min(nearest_id, (dist, nearest_id)) AS nearest_id, floor(min(dist) * 1e3 + 0.5) / 1e3 AS distance FROM p GROUP BY query_id")
+def embedding_nearest(spark, d):
+    """The nearest other vector of each query vector: queries are the ids divisible by 20, whose blocks meet blocks of all rows."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    d2 = F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, t: s + t)
-    near = q.join(e, F.col("query_id") != F.col("vec_id")).withColumn("d2", d2).groupBy("query_id").agg(F.min(F.struct("d2", "vec_id")).alias("m"))
-    return near.select("query_id", F.col("m.vec_id").alias("nearest_id"), rounded(F.sqrt("m.d2"), 3).alias("distance"))
+    found = vectors.nearest_in_blocks(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding")
+    return found.select("query_id", "nearest_id", rounded("distance", 3).alias("distance"))
 
 
 @query("windowed_events", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -478,3 +460,6 @@ def windowed_events(spark, d):
     from .streaming.events import windowed_counts
 
     return windowed_counts(table(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+from . import queries_index, queries_sources, queries_stems  # noqa: E402, F401  they register their own

@@ -30,6 +30,11 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.select("d.*", "_path")
 
 
+def fields(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Rows with the named fields of a JSON column; broken JSON gives nulls."""
+    return rows.withColumn("_j", F.from_json(column, schema)).select(*rows.columns, "_j.*")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """record_index (file order) and the record's fields; fails where records is no array."""
     found = read_document(spark, path, MEASUREMENTS)
@@ -48,6 +53,11 @@ def attribute(metadata: DataFrame, name: str) -> DataFrame:
     return metadata.select(F.filter("attributes", lambda a: a["name"] == name)[0].alias("a")).where("a IS NOT NULL").select("a.*")
 
 
+def total_bytes(metadata: DataFrame) -> DataFrame:
+    """source, n_bytes: the length of all buffers that each metadata document names."""
+    return metadata.select("source", F.aggregate("attributes", F.lit(0).cast("long"), lambda s, a: s + a["bufferView"]["byteLength"]).alias("n_bytes"))
+
+
 def required_count(summary: DataFrame, column: str = "num_points") -> int:
     """A positive whole number, or an error."""
     row = summary.select(F.get_json_object("json", f"$.summary.{column}").try_cast("bigint").alias("n")).first()

@@ -2,51 +2,66 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import files
+from .files import sha256_of
 
-def publish(df: DataFrame, path: str, fmt: str = "parquet", force: bool = False, **options) -> None:
-    """Spark's committer makes the result visible at once; what exists already stays unless forced."""
-    df.write.mode("overwrite" if force else "ignore").options(**options).format(fmt).save(path)
 
+def is_published(spark, path: str) -> bool:
+    """Whether a job finished writing this folder; what a failed one left does not count."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
-def publish_csv(df: DataFrame, path: str, force: bool = False) -> None:
-    publish(df, path, "csv", force, header=True)
+
+def publish(df: DataFrame, path: str, fmt: str = "parquet", force: bool = False, **options) -> bool:
+    """What is published stays unless forced; the mark of success comes last, and a folder without it is written anew. False if it stayed."""
+    if not force and is_published(df.sparkSession, path):
+        return False
+    df.write.mode("overwrite").options(**options).format(fmt).save(path)
+    return True
+
+
+def publish_csv(df: DataFrame, path: str, force: bool = False) -> bool:
+    return publish(df, path, "csv", force, header=True)
 
 
 def publish_text(text: str, path: str, force: bool = True) -> bool:
     """One small document: a temporary file is renamed. False if it was there and not forced."""
-    if os.path.exists(path) and not force:
+    if not force and files.size_of(path) is not None:
         return False
-    with open(path + ".tmp", "w", encoding="utf-8") as f:
-        f.write(text)
-    os.replace(path + ".tmp", path)
+    files.write_whole(path, [text.encode()])
     return True
 
 
-def publish_json(row: DataFrame, path: str, force: bool = True) -> bool:
-    """A one-row frame as an indented document; nulls are written, other alphabets kept."""
+def publish_json(row: DataFrame, path: str, force: bool = True, mark: bool = False) -> bool:
+    """A one-row frame as an indented document; nulls are written, other alphabets kept. mark: it begins with a byte-order mark."""
     value = row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()["j"]
-    return publish_text(json.dumps(json.loads(value), ensure_ascii=False, indent=2) + "\n", path, force)
+    return publish_text(("\ufeff" if mark else "") + json.dumps(json.loads(value), ensure_ascii=False, indent=2) + "\n", path, force)
+
+
+def publish_documents(rows: DataFrame, folder: str) -> None:
+    """Rows (name, json) as a file each, written whole by executors."""
 
+    def run(batches):
+        attempt = f".{TaskContext.get().taskAttemptId()}"
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("json").to_pylist(), strict=True):
+                files.write_whole(f"{folder}/{name}", [text.encode()], attempt)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], ["done"])
 
-def sha256_of(path: str, block: int = 1 << 20) -> str:
-    """Of a file of any size, block by block."""
-    found = hashlib.sha256()
-    with open(path, "rb") as f:
-        while part := f.read(block):
-            found.update(part)
-    return found.hexdigest()
+    rows.select("name", "json").mapInArrow(run, "done int").agg(F.count("*")).collect()
 
 
-def publish_checksum(path: str) -> str:
+def publish_checksum(path: str, to: str | None = None) -> str:
+    """The digest of a file, written beside it unless another place is named."""
     digest = sha256_of(path)
-    publish_text(f"{digest}  {os.path.basename(path)}\n", path + ".sha256")
+    publish_text(f"{digest}  {path.rsplit('/', 1)[-1]}\n", to or path + ".sha256")
     return digest
 
 

@@ -204,7 +204,7 @@ def test_archive_is_idempotent(spark, tmp_path):
     archive.archive(spark, str(tmp_path / "a.las"), str(tmp_path / "out"), preview_points=50, least_free=0)
     assert (tmp_path / "out/source-info.json").stat().st_mtime_ns == before and spark.read.parquet(str(tmp_path / "out/preview")).count() == 100
     with pytest.raises(OSError):
-        archive.require_space(str(tmp_path), 1 << 60)
+        archive.require_space(spark, str(tmp_path), 1 << 60)
     assert sinks.publish_checksum(str(tmp_path / "a.las")) == row["sourceSha256"]
     assert documents.required_count(spark.createDataFrame([('{"summary":{"num_points":5}}',)], "json string")) == 5
     with pytest.raises(ValueError):
