@@ -316,3 +316,133 @@ def test_detection_finds_the_known_stems(spark):
     for r, (cx, cy, radius, lean) in zip(found, sorted(stems, key=lambda s: -s[1]), strict=True):
         assert abs(r["r"] - radius) < 0.005 and abs(r["cy"] - cy) < 0.02 and abs(r["cx"] - (cx + lean * 1.3)) < 0.03
         assert r["measurement_z"] == round(r["ground"] + 1.3, 3) and r["confidence"] == "high"
+
+
+# Published invariants: counts and sums that any right run over the published data must keep
+
+
+@pytest.fixture(scope="module")
+def published(spark):
+    """118 records with the published statuses: 41 ready, 67 to check, 2 without an estimate, 8 excluded."""
+    status = ["READY_FOR_FIELD_USE"] * 41 + ["CHECK_ON_SITE"] * 67 + ["NO_ESTIMATE"] * 2 + ["EXCLUDED_CONFIRMED_WRONG"] * 8
+    rows = []
+    for i, s in enumerate(status):
+        accepted = i < 26 or i in (110, 111, 112)  # 29 legacy records, of which 3 are excluded
+        final = 26 <= i < 30  # 2 standard and 2 prop-root
+        kind = "PROP_ROOT_PLUS_030" if i in (28, 29, 41, 42) else "STANDARD_DBH_1_30" if i in (26, 27) else None
+        rule = ("STANDARD_1_30" if i < 18 else "ADAPTIVE_IRREGULAR_ZONE_PLUS_030") if accepted else None
+        rows.append((i, f"TREE_{i:04d}", s, i >= 110, "FINAL_LIDAR_ESTIMATE" if final else "NEEDS_LIDAR_REVIEW", kind, "ACCEPTED" if accepted else None, rule, None if i >= 108 else 30.0, i < 108))
+    return spark.createDataFrame(rows, "record_index long, tree_id string, field_aid_status string, operationally_excluded boolean, acceptance_status string, measurement_kind string, legacy_full_resolution_status string, legacy_measurement_rule string, field_aid_circumference_cm double, renderable boolean")
+
+
+def test_statuses_partition_the_records(published):
+    n = {r["facet"]: r["n"] for r in browse.facet_counts(published).collect()}
+    assert n["READY"] + n["CHECK"] + n["NO_ESTIMATE"] + n["EXCLUDED"] == n["ALL"] == 118 and (n["READY"], n["CHECK"], n["NO_ESTIMATE"], n["EXCLUDED"]) == (41, 67, 2, 8)
+    assert n["LEGACY"] == 29 - 3 and n["FINAL"] == 4 and n["PROP_ROOT"] == 4 and n["MEASURED"] <= n["READY"] + n["CHECK"]
+    review = {r["facet"]: r["n"] for r in browse.facet_counts(published, browse.REVIEW_FACETS).collect()}
+    assert review["HAS_ESTIMATE"] == 108 and review["LEGACY_STANDARD"] + review["LEGACY_ADAPTIVE"] == 26
+    ids = lambda df: sorted(r["tree_id"] for r in df.collect())
+    assert len(ids(browse.in_both(published, "PROP_ROOT", "READY"))) == 2 == len(ids(browse.in_both(published, "PROP_ROOT", "CHECK")))
+    assert ids(browse.only_in(published, "FINAL", "READY")) == [] == ids(browse.only_in(published, "LEGACY", "READY"))  # both within the ready ones
+    counts = index.status_counts(published, "acceptance_status").first()[0]
+    assert sum(counts.values()) == 118 and index.summary(published).first()["record_count"] == 118
+    listed = [r["tree_id"] for r in index.ids_where(published, labels.equals("field_aid_status", "CHECK_ON_SITE")).orderBy("pos").collect()]
+    assert listed == sorted(set(listed)) and len(listed) == 67
+
+
+def test_published_sizes(spark, tmp_path):
+    points, budget = 67_177_038, 3_000_000
+    step = one(spark, geo.step_for(F.lit(points), F.lit(budget)).alias("s"))["s"]
+    kept = -(-points // step)
+    assert (step, kept, 12 * kept, 4 * kept) == (23, 2_920_741, 35_048_892, 11_682_964)
+    assert len(las.las_bytes(np.zeros((5, 3), np.int32), np.zeros((5, 3), np.uint16), (1, 1, 1), (0, 0, 0))) == 227 + 26 * 5 and 227 + 26 * points == 1_746_603_215
+    r = one(spark, geo.circumference(F.lit(0.1117)).alias("c"), geo.dbh_cm(F.lit(0.1117)).alias("d"))
+    assert abs(r["c"] - 0.702) < 5e-4 and abs(r["d"] - 22.34) < 1e-9
+    las_file(tmp_path / "a.las", 90)
+    done = convert.convert(spark, str(tmp_path / "a.las"), str(tmp_path / "out"), 90, buffers=True)
+    box = done.agg(*(f(c) for c in "xyz" for f in (F.min, F.max))).first()
+    assert all(abs(box[2 * k] + box[2 * k + 1]) < 1e-4 for k in range(3))  # recentred
+    meta = documents.read_document(spark, str(tmp_path / "out/metadata.json"), documents.METADATA)
+    position = documents.attribute(meta, "position").first()
+    assert position["bufferView"]["uri"].endswith("00.glbin") and position["bufferView"]["byteLength"] == sum((tmp_path / f"out/positions-0{k}.glbin").stat().st_size for k in range(3))
+    assert documents.total_bytes(meta).first()["n_bytes"] == 16 * 90 and buffers.read_positions(spark, str(tmp_path / "out/positions-*.glbin")).count() == 90
+
+
+# What fails, what stays, and what reaches the reader
+
+
+def test_filters_reach_the_point_reader(spark, tmp_path):
+    raw, _ = las_file(tmp_path / "a.las", 1000)
+    some = las.read_las(spark, str(tmp_path / "a.las"), partition_rows=100).where("point_index >= 730 AND point_index < 790 AND x > 100 AND z < 0")
+    assert some.rdd.getNumPartitions() == 1  # eight of ten ranges can't hold such an index
+    x, z = raw[:, 0] * 0.001 + 100.0, raw[:, 2] * 0.001 - 5.0
+    assert sorted(r["point_index"] for r in some.collect()) == [i for i in range(730, 790) if x[i] > 100 and z[i] < 0]
+    assert las.read_las(spark, str(tmp_path / "a.las")).where("point_index > 5000").count() == 0
+
+
+def test_what_a_crashed_job_left_is_written_anew(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert sinks.publish(spark.range(5), path) and not sinks.publish(spark.range(9), path) and spark.read.parquet(path).count() == 5
+    (tmp_path / "t/_SUCCESS").unlink()
+    assert sinks.publish(spark.range(9), path) and spark.read.parquet(path).count() == 9
+
+
+def test_two_writers_of_notes(spark, tmp_path):
+    path, new = str(tmp_path / "notes"), spark.createDataFrame([("a", None)], "title string, content string")
+    notes.append(spark, path, new)
+    with notes.locked(spark, path), pytest.raises(RuntimeError, match="written to"):
+        notes.append(spark, path, new)
+    assert [r["id"] for r in notes.append(spark, path, new).collect()] == [2]
+
+
+def test_paths_links_and_stamps(spark):
+    paths = {"/a/../b": "b", "/a/./b//c": "a/b/c", "/..": None, "/a/..": None, "": None, "/a/../../b/c": None}
+    got = one(spark, *(labels.safe_path(F.lit(p)).alias(f"p{k}") for k, p in enumerate(paths)), labels.safe_path(F.lit(None).cast("string")).alias("n"))
+    assert list(got) == [*paths.values(), None]
+    r = one(spark, labels.link_tree(F.lit("https://h/?tree=%zz")).alias("a"), labels.decoded_path(F.lit("/%2e%2e/x")).alias("b"), labels.decoded_path(F.lit("/a%2Fb+c")).alias("c"))
+    assert list(r) == [None, None, "a/b+c"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Bangkok")
+        assert one(spark, labels.utc_stamp(F.lit("2026-01-02 03:04:05").cast("timestamp")).alias("s"))["s"] == "20260101T200405Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_the_message_of_a_failed_build_has_all_failures(spark, tmp_path):
+    write_index(tmp_path, [{"tree_id": f"T{k}"} for k in range(30)], MARKINGS)
+    with pytest.raises(ValueError, match="30 of the records.*T0: no marking_url.*T29: no marking_url"):
+        index.publish(spark, str(tmp_path / "m.json"), str(tmp_path), str(tmp_path / "out"))
+
+
+def test_numbering_spans_ranges(spark):
+    rows = spark.createDataFrame([(k * 7919 % 1000,) for k in range(1000)] + [(5,)] * 3, "k int")
+    got = [(r["k"], r["n"]) for r in sampling.numbered(rows, ["k"], "n").orderBy("n").collect()]
+    assert [n for _, n in got] == list(range(1, 1004)) and [k for k, _ in got] == sorted(k for k, _ in got)
+    assert sampling.numbered(rows.where("k < 0"), ["k"], "n").collect() == []
+
+
+def test_alignment_by_the_first_point(spark):
+    full = spark.createDataFrame([(0, 10.0, 20.0, 30.0), (1, 11.0, 22.0, 33.0)], "point_index long, x double, y double, z double")
+    assert sorted(tuple(r) for r in clouds.aligned(clouds.recentred(full), full).collect()) == [(0, 10.0, 20.0, 30.0), (1, 11.0, 22.0, 33.0)]
+
+
+def test_nearest_in_blocks(spark):
+    from stemspark.operators import vectors
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(90, 5))
+    v[7] = v[60]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(200, None)], "k long, v array<double>")
+    d = ((v[:, None] - v[None]) ** 2).sum(2) + np.diag([np.inf] * 90)
+    for block in (13, 4096):
+        got = {r["query_id"]: (r["nearest_id"], r["distance"]) for r in vectors.nearest_in_blocks(df.where("k % 3 = 0"), df, "k", "v", block).collect()}
+        assert set(got) == set(range(0, 90, 3)) and all(got[k][0] == d[k].argmin() and abs(got[k][1] - math.sqrt(d[k].min())) < 1e-9 for k in got)
+
+
+def test_discovery_takes_the_named_file_or_the_first(tmp_path):
+    for name in ("b.las", "a.las"):
+        las_file(tmp_path / name, 3)
+    assert archive.discover(str(tmp_path)).endswith("a.las") and archive.discover(str(tmp_path / "b*.las")).endswith("b.las") and archive.discover(str(tmp_path), str(tmp_path / "b.las")).endswith("b.las")
+    with pytest.raises(FileNotFoundError):
+        archive.discover(str(tmp_path / "c*.las"))
