@@ -175,7 +175,13 @@ def detect(spark: SparkSession, sample: DataFrame, full: DataFrame | None = None
     return stem_records(nms.suppress(stems))
 
 
-def publish_stems(spark: SparkSession, stems: DataFrame, path: str, facts: dict[str, str]) -> None:
-    """The published document: facts, the number of stems, and the stems by tree_id. Stems are a table of results, thousands at most."""
-    rows = stems.agg(F.count("*").cast("int").alias("tree_count"), F.array_sort(F.collect_list(F.struct("tree_id", *(c for c in stems.columns if c != "tree_id")))).alias("trees"))
-    sinks.publish_json(rows.select(*(F.lit(v).alias(k) for k, v in facts.items()), "tree_count", "trees"), path)
+def publish_stems(spark: SparkSession, records: DataFrame, path: str, facts: dict[str, str | int | float]) -> None:
+    """The published document of stem_records: facts, the number of stems, and the stems by id under their published names.
+
+    Stems are a table of results, thousands at most, and one document by nature.
+    """
+    pair = lambda *columns: F.array(*columns)
+    names = {"groundZ": "ground", "measurementZ": "measurement_z", "radiusM": "r", "dbhCm": "dbh_cm", "circumferenceM": "circumference_m", "fitPoints": "inliers", "angularCoverage": "coverage", "residualM": "residual", "verticality": "verticality", "validatedSlices": "slice_count", "confidence": "confidence"}
+    tree = F.struct(F.col("tree_id").alias("id"), pair("cx", "cy").alias("center"), pair("ground_x", "ground_y").alias("groundCenter"), pair("axis_x", "axis_y", "axis_z").alias("axis"), *(F.col(c).alias(n) for n, c in names.items()))
+    rows = records.agg(F.count("*").cast("int").alias("visibleMeasuredTrees"), F.array_sort(F.collect_list(tree)).alias("trees"))
+    sinks.publish_json(rows.select(*(F.lit(v).alias(k) for k, v in facts.items()), "visibleMeasuredTrees", "trees"), path)

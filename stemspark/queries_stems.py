@@ -92,13 +92,15 @@ def stem_detection(spark, d):
     return _placed(found, _stems(spark, d), "key").select("tree_id", "stem", "centre_found", "radius_found", "confidence")
 
 
-@query("published_stems", f"SELECT CAST(row_number() OVER (ORDER BY stem) - 1 AS INT) AS place, CAST((SELECT count(*) FROM ({_STEMS})) AS INT) AS tree_count, stem AS tree_id, {rounded_sql('r * 200', 3)} AS dbh_cm FROM ({_STEMS})")
+@query("published_stems", f"SELECT CAST(row_number() OVER (ORDER BY cy DESC, cx DESC) AS INT) AS id, CAST((SELECT count(*) FROM ({_STEMS})) AS INT) AS stems, {rounded_sql('cx', 3)} AS x, {rounded_sql('cy', 3)} AS y, r AS radius, {rounded_sql('r * 200', 1)} AS dbh_cm, {rounded_sql('2 * pi() * r', 3)} AS circumference, -5.38e0 AS measured_at, 'high' AS confidence FROM ({_STEMS})")
 def published_stems(spark, d):
-    """The published document of stems, read again."""
+    """The published document of stems, numbered from the north, read again."""
     path = f"{shared_folder(spark)}/stems-{uuid.uuid4().hex}/tree-measurements.json"
-    detect.publish_stems(spark, _stems(spark, d).select(F.col("stem").alias("tree_id"), rounded(geo.dbh_cm("r"), 3).alias("dbh_cm")), path, {"source": "known stems"})
-    found = documents.read_document(spark, path, "tree_count INT, trees ARRAY<STRUCT<tree_id: BIGINT, dbh_cm: DOUBLE>>")
-    return found.select("tree_count", F.posexplode("trees").alias("place", "t")).select("place", "tree_count", "t.tree_id", "t.dbh_cm")
+    known = {"ground": detect.GROUND, "axis_x": 0.0, "axis_y": 0.0, "axis_z": 1.0, "coverage": 1.0, "residual": 0.001, "verticality": 1.0}
+    stems = _stems(spark, d).select("cx", "cy", "r", *(F.lit(v).alias(c) for c, v in known.items()), F.lit(150).alias("inliers"), F.lit(5).alias("slice_count"))
+    detect.publish_stems(spark, detect.stem_records(stems), path, {"source": "known stems", "breastHeightM": 1.3})
+    t = documents.read_document(spark, path, documents.TREES).select("visibleMeasuredTrees", F.explode("trees").alias("t"))
+    return t.select("t.id", F.col("visibleMeasuredTrees").alias("stems"), *(rounded(F.get("t.center", F.lit(k)), 3).alias(c) for k, c in enumerate("xy")), F.col("t.radiusM").alias("radius"), F.col("t.dbhCm").alias("dbh_cm"), F.col("t.circumferenceM").alias("circumference"), F.col("t.measurementZ").alias("measured_at"), "t.confidence")
 
 
 @query("verticality", f"SELECT stem, {rounded_sql('1 / sqrt(1 + (lean * 10) ** 2 + r ** 2)')} AS upright FROM ({_STEMS})")

@@ -22,6 +22,10 @@ METADATA = """name STRING, description STRING, source STRING, sourcePointCount B
 boundingBox STRUCT<min: ARRAY<DOUBLE>, max: ARRAY<DOUBLE>>, attributes ARRAY<STRUCT<name: STRING, type: STRING, numElements: INT, elementSize: INT, size: INT,
 bufferView: STRUCT<uri: STRING, byteLength: BIGINT, byteOffset: BIGINT>, min: ARRAY<DOUBLE>, max: ARRAY<DOUBLE>>>""".replace("\n", " ")
 
+TREES = """source STRING, method STRING, measurementSourcePointCount BIGINT, viewerPointCount BIGINT, breastHeightM DOUBLE, visibleMeasuredTrees INT, trees ARRAY<STRUCT<id: INT, center: ARRAY<DOUBLE>,
+groundCenter: ARRAY<DOUBLE>, axis: ARRAY<DOUBLE>, groundZ: DOUBLE, measurementZ: DOUBLE, radiusM: DOUBLE, dbhCm: DOUBLE, circumferenceM: DOUBLE, fitPoints: INT, angularCoverage: DOUBLE, residualM: DOUBLE,
+verticality: DOUBLE, validatedSlices: INT, confidence: STRING>>""".replace("\n", " ")
+
 
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row a file: its fields and _path. A leading byte-order mark goes; broken JSON fails the query."""
