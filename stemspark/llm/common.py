@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import settled as cut  # noqa: F401  written to the shared folder and read from there
+from ..lineage import shared_folder as shared_dir  # noqa: F401
+
 #: Rows and bytes of an Arrow batch handed to Python; whole texts are long, so batches stay small.
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
@@ -78,31 +80,12 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (in one process only) a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="stemspark-")
-        shared_dir.own = found
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate results, wherever it is stored."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read from there: later stages do not depend on executors that made it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: The columns that stages know by name.
 KNOWN = ("doc_id", "text", "lang", "n_chars")
 
@@ -126,12 +109,13 @@ HOT_KEYS = 10_000
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
     """rows joined with the one row that table has for each key, without a task that gets all rows of a frequent key.
 
-    weight: the column of table that counts a key's rows. Of keys with a 10,000th of the rows or more there are at most 10,000; those
+    weight: the column of table that counts a key's rows. Of keys with a 10,000th of these rows or more there are at most 10,000; those
     are broadcast, and no other key has more rows than that. Both frames are read more than once and should be cut.
     """
-    hot = F.col(weight) * HOT_KEYS >= rows.count()
-    if table.where(hot).isEmpty():
+    total, most = table.agg(F.sum(weight), F.max(weight)).first()
+    if not total or most * HOT_KEYS < total:
         return rows.join(table, on)
+    hot = F.col(weight) * HOT_KEYS >= total
     often = F.broadcast(table.where(hot))
     seldom = rows.join(F.broadcast(table.where(hot).select(*on)), on, "left_anti").join(table.where(~hot), on)
     return rows.join(often, on).unionByName(seldom)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import DEFAULT, encoder
-from .common import prepare, read_documents
+from .common import lean, prepare, read_documents
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT) -> DataFrame:
@@ -25,7 +25,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT) -> DataFrame:
             decoded = [own.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(decoded, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, ids binary, n_tokens long, decoded string")
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

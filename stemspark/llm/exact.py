@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, prepare, read_documents, spread_join, whole_text
+from .common import ascii_lower, cut, lean, prepare, read_documents, spread_join, whole_text
 
 SLOTS, KICKS = 4, 200
 #: Live digests at which a map task hands its index on and starts another.
@@ -120,7 +120,7 @@ def _indexed(docs: DataFrame, whole_buckets: bool) -> DataFrame:
                     index.insert(key, _merge(live, (doc, n)))
         yield out()
 
-    return docs.mapInArrow(run, "digest binary, keep_id long, group_size long")
+    return docs.mapInArrow(lean(run), "digest binary, keep_id long, group_size long")
 
 
 def exact_groups(rows: DataFrame) -> DataFrame:
