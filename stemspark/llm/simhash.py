@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, guarded, prepare, read_documents, spread_join
+from .common import cut, guarded, lean, lean_group, prepare, read_documents, spread_join, text_sum
 
 BITS, BUDGET, WORDS, SEED = 64, 4, 4, 42
 #: A bucket of more fingerprints is split further; and the rows a task joins at once, the node pairs it expands at once.
@@ -31,7 +31,7 @@ FREE_BITS = 16
 #: The stage: words a shingle, least Jaccard similarity; bands and their rows, which leave out (1 - 0.8 ** 6) ** 40 = 5e-6 of the pairs at 0.8, fewer above.
 STAGE_WORDS, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 40, 6
 #: Hashes that a task of the stage compares at once.
-PART_HASHES = 2_000_000
+PART_HASHES = 500_000
 _FACTORS, _ADDENDS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
 _FACTORS |= np.uint64(1)
 
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             found = np.array([fingerprint(t or "", words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def blocks_of(mask: int, parts: int) -> list[int]:
@@ -226,7 +226,7 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
         large = crowded is not None and crowded.count() > 0
         small = current.join(crowded, ["mask", "key"], "left_anti") if large else current
         rows = small.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp")
-        found.append(rows.mapInArrow(lambda batches: _join_buckets(batches, budget), "a long, b long"))
+        found.append(rows.mapInArrow(lean(lambda batches: _join_buckets(batches, budget)), "a long, b long"))
         if not large:
             break
         current = current.join(crowded, ["mask", "key"], "left_semi")
@@ -238,8 +238,8 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root of every node with a link: the smallest node reachable, by alternating large and small stars until nothing changes."""
-    current, before = cut(edges.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()), None
+    """node, root of every node with a link: the smallest node reachable, by alternating large and small stars until only stars are left."""
+    current = cut(edges.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct())
     while True:
         # large star: larger neighbours go to the smallest of a node and its neighbours
         both = current.union(current.select(F.col("high").alias("low"), F.col("low").alias("high")))
@@ -249,20 +249,20 @@ def components(edges: DataFrame) -> DataFrame:
         least = cut(large.groupBy("high").agg(F.min("low").alias("m"), F.count("*").alias("n")))
         small = spread_join(large, least, ["high"], "n").select(F.col("m").alias("low"), F.when(F.col("low") == F.col("m"), F.col("high")).otherwise(F.col("low")).alias("high"))
         current = cut(small.where("low <> high").distinct())
-        now = current.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == before:
+        # stars: no node hangs on two, and none on one that hangs itself
+        ends = current.select(F.col("high").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(current.select("low", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1 AND below > 0").isEmpty():
             return current.select(F.col("high").alias("node"), F.col("low").alias("root"))
-        before = now
 
 
 def _named(rows: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of rows (doc_id, fp): the smallest doc_id that edges between fps reach. distinct: fp, first, n."""
+    """The columns of rows, which have fp, with least: the smallest `first` that edges between fps reach. distinct: fp, first, n."""
     roots = components(edges)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     named = cut(named)
-    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
-    named = cut(spread_join(named, least, ["root"], "size").select("fp", "n", "component_id"))
-    return spread_join(rows, named, ["fp"], "n").select("doc_id", "fp", "component_id")
+    least = cut(named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("size")))
+    named = cut(spread_join(named, least, ["root"], "size").select("fp", "n", "least"))
+    return spread_join(rows, named, ["fp"], "n").select(*rows.columns, "least")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, words: int = WORDS) -> DataFrame:
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, words: int = WORDS) -
     """
     rows = cut(fingerprints(docs, words))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    return _named(rows, distinct, links(distinct.select("fp"), budget))
+    return _named(rows, distinct, links(distinct.select("fp"), budget)).select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 # The stage of the pipeline: Jaccard similarity of word shingles
@@ -348,14 +348,16 @@ def _verify(table: pa.Table) -> pa.Table:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (of the shingle set), component_id: the smallest doc_id that links of SIMILARITY or more reach.
+    """doc_id, sum (of the text), fp (of the shingle set), component_id (the smallest doc_id that links of SIMILARITY or more reach), kept.
 
     Equal sets collapse first. Sets that share the least hashes of a band are candidates; those that hang together meet in one task,
-    which verifies by the sets themselves. What is too large for a task is dealt into parts: first each part, then each pair of parts.
-    Null texts, rows without words and null doc_ids are as in near_duplicates.
+    which verifies by the sets themselves. What is too large for a task is dealt into parts: first each part, then one member of each
+    component found so, then, unless all members of the group hang together by now, each pair of its parts.
+    Null texts, rows without words and null doc_ids are as in near_duplicates. Of each component the document with the smallest
+    (doc_id, sum) is kept, null doc_ids last; rows that share a doc_id only are several documents, rows that repeat both are one.
     """
     prepare(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long"), "text")
+    own = docs.select(F.col("doc_id").cast("long"), "text", text_sum().alias("sum"))
 
     def keys(batches):
         for batch in batches:
@@ -364,22 +366,16 @@ def similar(docs: DataFrame) -> DataFrame:
                 s = shingles(t or "")
                 found.append((set_key(s), len(s), band_keys(s)))
             fp, size, bands = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "fp", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sum"), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "sum", "fp", "size", "bands"])
 
     def contents(batches):
         for batch in batches:
-            keep, hashes, bands = [], [], []
-            for k, (t, fp) in enumerate(zip(batch.column("text").to_pylist(), batch.column("fp").to_pylist(), strict=True)):
-                s = shingles(t or "")
-                if set_key(s) == fp:  # rows that share the doc_id only are other members or none
-                    keep.append(k)
-                    hashes.append(s.tobytes())
-                    bands.append(band_keys(s).tobytes())
-            rows = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("root", "part", "parts", "fp")), pa.array(hashes, pa.binary()), pa.array(bands, pa.binary())], ["root", "part", "parts", "fp", "hashes", "bands"])
-
-    rows = cut(own.mapInArrow(keys, "doc_id long, fp long, size long, bands array<long>"))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+            found = [shingles(t or "") for t in batch.column("text").to_pylist()]
+            hashes, bands = [s.tobytes() for s in found], [band_keys(s).tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "part", "parts", "fp")), pa.array(hashes, pa.binary()), pa.array(bands, pa.binary())], ["root", "part", "parts", "fp", "hashes", "bands"])
+
+    rows = cut(own.mapInArrow(lean(keys), "doc_id long, sum long, fp long, size long, bands array<long>"))
+    distinct = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sum")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     met = distinct.select("fp", F.posexplode("bands").alias("band", "key"))
     shared = cut(met.groupBy("band", "key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1"))
     edges = spread_join(met, shared, ["band", "key"], "n").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
@@ -388,16 +384,24 @@ def similar(docs: DataFrame) -> DataFrame:
     members = cut(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "first", "size", "root"))
     weights = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") + BANDS) / PART_HASHES).alias("parts"))
     members = members.join(weights, "root").select("fp", "first", "root", "parts", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
-    sent = cut(own.join(members, F.col("doc_id").eqNullSafe(F.col("first"))).select("root", "part", "parts", "fp", "text").mapInArrow(contents, "root long, part long, parts long, fp long, hashes binary, bands binary"))
-    found = cut(sent.withColumn("label", F.col("fp")).groupBy("root", "part").applyInArrow(_verify, "a long, b long"))
+    sent = cut(own.join(members, F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sum") == F.col("first.sum"))).select("root", "part", "parts", "fp", "text").mapInArrow(lean(contents), "root long, part long, parts long, fp long, hashes binary, bands binary"))
+    found = cut(sent.withColumn("label", F.col("fp")).groupBy("root", "part").applyInArrow(lean_group(_verify), "a long, b long"))
     large = sent.where("parts > 1")
     if not large.isEmpty():
+        # one member of each part found so far meets the others' first, so that a dense group hangs together before its parts meet
         known = components(found)
-        large = large.join(known, large["fp"] == known["node"], "left").withColumn("label", F.coalesce(known["root"], "fp")).select(large["root"], "part", "parts", "fp", "hashes", "bands", "label")
-        pairs = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("other <> part")
+        labelled = lambda known: large.join(known, large["fp"] == known["node"], "left").select(large["root"], "part", "parts", "fp", "hashes", "bands", F.coalesce(known["root"], "fp").alias("label"))
+        first = cut(labelled(known).where("fp = label"))
+        weights = first.groupBy("root").agg(F.ceil(F.sum(F.length("hashes") / 8 + BANDS) / PART_HASHES).alias("few"))
+        first = first.join(weights, "root").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("few"))).select("root", "part", "parts", "fp", "hashes", "bands", "label")
+        found = cut(found.union(first.groupBy("root", "part").applyInArrow(lean_group(_verify), "a long, b long")))
+        loose = labelled(components(found))
+        open_ = loose.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("root")
+        pairs = loose.join(open_, "root", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("other <> part")
         pairs = pairs.groupBy("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        found = found.union(cut(pairs.applyInArrow(_verify, "a long, b long")))
-    return _named(rows.select("doc_id", "fp"), distinct.select("fp", "first", "n"), found)
+        found = found.union(cut(pairs.applyInArrow(lean_group(_verify), "a long, b long")))
+    named = _named(rows.select("doc_id", "sum", "fp"), distinct.select("fp", "first", "n"), found)
+    return named.select("doc_id", "sum", "fp", F.col("least.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("sum") == F.col("least.sum"))).alias("kept"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
@@ -407,7 +411,10 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
 
 @guarded
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents stays: the one with the smallest doc_id. Rows that repeat that doc_id stay with it; rows without doc_id stay."""
-    found = similar(docs)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti").select(*docs.columns)
+    """One document of each component of similar documents stays: the one with the smallest doc_id, null doc_ids last.
+
+    Documents are rows told apart by doc_id and text: a row that shares its doc_id with a dropped one but has another text is judged
+    by its own text, and rows that repeat both stay or go together. Null text is as empty; all texts without words are one component.
+    """
+    dropped = similar(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id"), F.col("sum").alias("_dropped_sum")).distinct()
+    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped_id")) & (text_sum() == F.col("_dropped_sum")), "left_anti").select(*docs.columns)
