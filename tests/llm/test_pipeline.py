@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from stemspark.llm import langid
 
-from test_near import components_by_hand, fingerprint_by_hand, lines_by_hand, removed_by_hand, texts_of
+from test_near import lines_by_hand, removed_by_hand, similar_by_hand, texts_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,12 +35,8 @@ def test_stages(spark, docs, tmp_path):
         elif k == 1:
             assert got == sorted(((r[0], r[3]) for r in lines_by_hand(texts_of(before), 10)), key=str)
         elif k == 2:
-            rows = sorted(texts_of(before))
-            roots = components_by_hand([fingerprint_by_hand(t) for _, t in rows])
-            first: dict = {}
-            for (d, t), r in zip(rows, roots, strict=True):
-                first.setdefault(r, (d, t))
-            assert got == sorted(first.values(), key=str)
+            stay = {d for d, least in similar_by_hand(texts_of(before)) if d == least}
+            assert got == sorted((r for r in texts_of(before) if r[0] in stay), key=str)
         else:
             want = removed_by_hand([(d, t.encode()) for d, t in texts_of(before)])
             assert got == sorted(((w[0], w[4].decode("utf-8", "replace")) for w in want), key=str)
@@ -72,6 +68,15 @@ def test_clashing_names_pass(spark, odd, k):
     assert got.columns == wide.columns and all(r[c] == c for r in got.collect() for c in names)
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_null_texts_and_shared_ids_stay_as_they_are(spark, k):
+    """Rows are judged by their own text: those that share a doc_id, or have none, and those that repeat."""
+    rows = [(1, None), (1, "first\nline"), (1, "first\nline"), (None, None), (None, "other"), (2, "")]
+    df = spark.createDataFrame([(d, t, "en", "a", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = stage(spark, df, k)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_null_texts_pass_the_suffix_stage(spark, odd):
     got = {r["doc_id"]: r["text"] for r in stage(spark, odd, 3).collect()}
     assert got[1] is None and got[2] == "" and hashlib.sha256(got[5].encode()).digest()
