@@ -169,6 +169,12 @@ def rotate(x, y, z, yaw: float, pitch: float) -> list[Column]:
     return [right.alias("right"), (cp * number(z) - sp * ahead).alias("up"), (sp * number(z) + cp * ahead).alias("depth")]
 
 
+def world_per_pixel(distance, near: float, view_degrees: float, height_pixels: int) -> Column:
+    """The width of a screen pixel at a distance, but not nearer than the camera sees, for a vertical angle of view."""
+    away = F.greatest(number(distance), F.lit(float(near)))
+    return away * 2 * F.tan(F.radians(F.lit(view_degrees / 2))) / max(height_pixels, 1)
+
+
 def step_for(n, budget) -> Column:
     """Every how many points to keep, one at least."""
     return F.greatest(F.lit(1).cast("bigint"), F.ceil(number(n) / number(budget)).cast("bigint"))

@@ -148,5 +148,10 @@ def painter_order(points: DataFrame, yaw: float, pitch: float) -> DataFrame:
     return points.select("*", *rotate("x", "y", "z", yaw, pitch)).orderBy("depth")
 
 
+def front_most(hits: DataFrame, ray: str = "ray") -> DataFrame:
+    """ray, tree_id: of each ray's hits (distance, tree_id, visible) the nearest that can be seen; of equally near ones the smaller id."""
+    return hits.where(yes("visible")).groupBy(ray).agg(F.min(F.struct("distance", "tree_id")).alias("m")).select(ray, "m.tree_id")
+
+
 def budget_steps(n: Column | str, budgets=(250_000, 500_000, 1_000_000)) -> list[Column]:
     return [F.greatest(F.lit(1).cast("bigint"), F.ceil(number(n) / b)).alias(f"step_{b}") for b in budgets]

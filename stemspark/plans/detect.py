@@ -24,11 +24,23 @@ NX, NY = 500, 375
 OWNER_CELL, OWNER_REACH = 0.25, 0.45
 
 
-def candidate_seeds(points: DataFrame, ground: float = GROUND, cell: float = CELL, quantile: float = 0.975, spacing: int = 4) -> DataFrame:
-    """seed_id, seed_x, seed_y, score: peaks of the smoothed band minimum above a quantile of its positive cells."""
+def score_cells(points: DataFrame, ground: float = GROUND, cell: float = CELL) -> DataFrame:
+    """iy, ix, score: the least of the smoothed bands, where it is positive."""
     nx, ny = round((grid.X_MAX - grid.X_MIN) / cell), round((grid.Y_MAX - grid.Y_MIN) / cell)
     counts = grid.band_histogram(points.withColumn("hag", F.col("z") - ground), BANDS, cell).where((F.col("ix") < nx) & (F.col("iy") < ny))
-    score = settled(grid.smoothed(settled(counts), ny, nx).groupBy("iy", "ix").agg(F.min("v").alias("score"), F.count("*").alias("k")).where(f"k = {len(BANDS)} AND score > 0").select("iy", "ix", "score"))
+    return settled(grid.smoothed(settled(counts), ny, nx).groupBy("iy", "ix").agg(F.min("v").alias("score"), F.count("*").alias("k")).where(f"k = {len(BANDS)} AND score > 0").select("iy", "ix", "score"))
+
+
+def score_raster(points: DataFrame, ground: float = GROUND, cell: float = CELL, ceiling: float = 0.99) -> DataFrame:
+    """The cells of the diagnostic picture: scores up to a quantile of the positive ones, which is shown as the brightest."""
+    score = score_cells(points, ground, cell)
+    top = score.agg(F.percentile("score", F.lit(ceiling)).alias("top"))
+    return score.crossJoin(F.broadcast(top)).select("iy", "ix", F.least("score", "top").alias("score"))
+
+
+def candidate_seeds(points: DataFrame, ground: float = GROUND, cell: float = CELL, quantile: float = 0.975, spacing: int = 4) -> DataFrame:
+    """seed_id, seed_x, seed_y, score: peaks of the smoothed band minimum above a quantile of its positive cells."""
+    score = score_cells(points, ground, cell)
     cut = score.agg(F.percentile("score", F.lit(quantile)).alias("c")).first()["c"]
     peaks = grid.local_maxima(score, spacing, cut if cut is not None else 0.0)
     centred = peaks.select((F.lit(grid.X_MIN) + (F.col("ix") + 0.5) * cell).alias("seed_x"), (F.lit(grid.Y_MIN) + (F.col("iy") + 0.5) * cell).alias("seed_y"), "score")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as geo
 from .functions import labels
 from .operators import clouds, fits, grid, joins, nms, sampling, vectors
-from .plans import browse, index, notes, views
+from .plans import browse, detect, index, notes, views
 from .plans.views import SCATTER_SQL, STEM_SQL, scatter_points, stem_points, table
 from .registry import ORACLE, QUERIES, query, rounded, rounded_sql
 from .sources import documents
@@ -41,15 +41,25 @@ def _mirror(axis: str, n: int) -> str:
     return f"CASE WHEN {j} >= {n} THEN {2 * n - 1} - {j} ELSE {j} END"
 
 
+_SMOOTH = f"WITH {_GRID}, h AS (SELECT band, iy, ix, count(*) AS n FROM b WHERE band IS NOT NULL GROUP BY ALL), {_KERNEL}, s AS (SELECT range // 10 AS iy, range % 10 AS ix FROM range(80)), f AS (SELECT q.band, s.iy, s.ix, coalesce(n, 0) AS v FROM (SELECT DISTINCT band FROM h) q CROSS JOIN s LEFT JOIN h ON h.band = q.band AND h.iy = s.iy AND h.ix = s.ix), a AS (SELECT f.band, f.iy, f.ix, sum(g.v * w) AS v FROM f CROSS JOIN w JOIN f g ON g.band = f.band AND g.iy = f.iy AND g.ix = {_mirror('f.ix', 10)} GROUP BY ALL), c AS (SELECT a.band, a.iy, a.ix, sum(g.v * w) AS v FROM a CROSS JOIN w JOIN a g ON g.band = a.band AND g.ix = a.ix AND g.iy = {_mirror('a.iy', 8)} GROUP BY ALL)"
+
+
 @query(
     "gaussian_smoothing",
-    f"WITH {_GRID}, h AS (SELECT band, iy, ix, count(*) AS n FROM b WHERE band IS NOT NULL GROUP BY ALL), {_KERNEL}, s AS (SELECT range // 10 AS iy, range % 10 AS ix FROM range(80)), f AS (SELECT q.band, s.iy, s.ix, coalesce(n, 0) AS v FROM (SELECT DISTINCT band FROM h) q CROSS JOIN s LEFT JOIN h ON h.band = q.band AND h.iy = s.iy AND h.ix = s.ix), a AS (SELECT f.band, f.iy, f.ix, sum(g.v * w) AS v FROM f CROSS JOIN w JOIN f g ON g.band = f.band AND g.iy = f.iy AND g.ix = {_mirror('f.ix', 10)} GROUP BY ALL), c AS (SELECT a.band, a.iy, a.ix, sum(g.v * w) AS v FROM a CROSS JOIN w JOIN a g ON g.band = a.band AND g.ix = a.ix AND g.iy = {_mirror('a.iy', 8)} GROUP BY ALL) SELECT band, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, {rounded_sql('v')} AS v FROM c",
+    f"{_SMOOTH} SELECT band, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, {rounded_sql('v')} AS v FROM c",
 )
 def gaussian_smoothing(spark, d):
     counts = grid.band_histogram(scatter_points(spark, d), BANDS, 4.0)
     return grid.smoothed(counts, 8, 10).select("band", "iy", "ix", rounded("v").alias("v"))
 
 
+@query("score_raster", f"{_SMOOTH}, z AS (SELECT iy, ix, min(v) AS score FROM c GROUP BY iy, ix HAVING count(*) = 5 AND min(v) > 0), t AS (SELECT quantile_cont(score, 0.99) AS top FROM z) SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, {rounded_sql("least(score, top)")} AS score FROM z, t")
+def score_raster(spark, d):
+    """The cells of the diagnostic picture."""
+    points = scatter_points(spark, d).withColumn("z", F.col("hag") - 0.0)
+    return detect.score_raster(points, 0.0, 4.0).select("iy", "ix", rounded("score").alias("score"))
+
+
 @query("local_maxima", f"WITH {_GRID}, s AS (SELECT iy, ix, count(*) * 1000 + iy * 10 + ix AS score FROM b GROUP BY iy, ix) SELECT s.iy, s.ix, s.score FROM s JOIN s t ON abs(t.iy - s.iy) <= 1 AND abs(t.ix - s.ix) <= 1 GROUP BY s.iy, s.ix, s.score HAVING s.score = max(t.score)")
 def local_maxima(spark, d):
     """Without ties, which recursion alone could settle in SQL; tests cover those."""
@@ -57,6 +67,13 @@ def local_maxima(spark, d):
     return grid.local_maxima(cells.select("iy", "ix", (F.col("n") * 1000 + F.col("iy") * 10 + F.col("ix")).alias("score")), 1)
 
 
+@query("tied_maxima", "SELECT CAST(n_nationkey * 12 AS INT) AS iy, 0 AS ix, 5e0 AS score FROM nation UNION ALL SELECT CAST(n_nationkey * 12 AS INT), 3, 5e0 FROM nation")
+def tied_maxima(spark, d):
+    """Rows of five equal cells, all with one score: a greedy pass keeps the first and the fourth."""
+    rows = table(spark, d, "nation").select((F.col("n_nationkey") * 12).cast("int").alias("iy"), F.explode(F.expr("sequence(0, 4)")).alias("ix"), F.lit(5.0).alias("score"))
+    return grid.local_maxima(rows, 2)
+
+
 @query("stride_sample", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 23 = 0")
 def stride_sample(spark, d):
     return sampling.stride_sample(table(spark, d, "orders"), 23, "o_orderkey").select("o_orderkey", "o_totalprice")

@@ -170,3 +170,16 @@ def painter_order(spark, d):
     """The drawing order as places, seen straight on: far points first, of equally far ones the first by index."""
     p = scatter_points(spark, d).withColumnRenamed("hag", "z")
     return sampling.numbered(browse.painter_order(p, 0.0, 0.0).select("point_index", "depth"), ["depth", "point_index"], "place").select("point_index", "place")
+
+
+@query("front_most_hits", "SELECT l_partkey AS ray, arg_min('T' || l_suppkey, (l_quantity, 'T' || l_suppkey)) AS tree_id FROM lineitem WHERE l_linenumber % 3 > 0 GROUP BY l_partkey")
+def front_most_hits(spark, d):
+    """Lines of an order as hits of a part's ray."""
+    hits = table(spark, d, "lineitem").select(F.col("l_partkey").alias("ray"), F.col("l_quantity").alias("distance"), F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("tree_id"), (F.col("l_linenumber") % 3 > 0).alias("visible"))
+    return browse.front_most(hits)
+
+
+@query("pixel_scale", f"SELECT p_partkey AS k, {rounded_sql('greatest(p_size / 10e0, 0.5e0) * 2 * tan(radians(25e0)) / 900 * 120')} AS width FROM part")
+def pixel_scale(spark, d):
+    """How wide a label of 120 pixels is at its distance."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), rounded(geo.world_per_pixel(F.col("p_size") / 10, 0.5, 50.0, 900) * 120).alias("width"))
