@@ -140,7 +140,9 @@ def links(spark, d):
 
 @query("utc_stamps", "SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp FROM events")
 def utc_stamps(spark, d):
-    return table(spark, d, "events").select("event_id", labels.utc_stamp("ts").alias("stamp"))
+    """The events' times are UTC without a zone: as instants of the session, whatever its zone, and back."""
+    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp")
+    return table(spark, d, "events").select("event_id", labels.utc_stamp(instant).alias("stamp"))
 
 
 _ADAPTIVE = "(coalesce(measurement_kind = 'PROP_ROOT_PLUS_030', false) OR coalesce(legacy_measurement_rule = 'ADAPTIVE_IRREGULAR_ZONE_PLUS_030', false))"
