@@ -6,6 +6,8 @@ of the corpus would move many times its size, so suffixes meet in buckets:
 - the least hash among the 16-byte strings of a window of `length` bytes is the same wherever the window occurs; a run of windows
   with the same least hash is a unit. Equal units collapse, first within a group of documents, then within the bucket of the hash.
   Where a unit also occurs in a smaller document, all its windows are repeats;
+- a 16-byte string that would be least in very many different units, found on a sample of groups, counts as larger than all others
+  wherever it occurs. That only changes which string stands for a window, so a bucket stays small and no result depends on the sample;
 - units of the same least hash but other bytes may still share windows (the ends of a passage). Only those send their bytes. The
   suffixes in a bucket are put in order with the common prefixes of neighbours; the previous and next smaller positions, by document,
   give each suffix its longest previous factor. A suffix whose factor reaches `length` is a repeat.
@@ -16,6 +18,8 @@ index lists and the bytes of differing units.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +32,10 @@ LENGTH, GRAM, RUN = 50, 16, 48
 GROUP_BYTES, CHUNK = 8 << 20, 1 << 20
 #: Into how many parts of its least hashes a bucket is split before bytes meet in it.
 PARTS = 16
+#: A string least in more distinct units than this, or than this share of all, is avoided; so many groups are looked at.
+HOT_UNITS, HOT_SHARE, SAMPLED = 100_000, 1e-6, 8
+#: Bytes of text a unit has on average, and the fewest sightings in the sample that count.
+UNIT_BYTES, SIGHTINGS = 17, 3
 #: Hashes are cut to 48 bits; a unit is known by two of them.
 CUT = np.uint64((1 << 48) - 1)
 NO_DOC = np.iinfo(np.int64).max
@@ -64,13 +72,31 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def units_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Avoided:
+    """The 48-bit hashes of strings to avoid; a small table of their last bits spares most lookups."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes.astype(np.uint64))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def demoted(self, order: np.ndarray) -> np.ndarray:
+        """Hashes of 63 bits, of which the avoided ones come after all others."""
+        at = np.flatnonzero(self.maybe[(order & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        cut = order[at] & CUT
+        found = self.hashes[np.minimum(np.searchsorted(self.hashes, cut), len(self.hashes) - 1)] == cut
+        order[at[found]] |= np.uint64(1 << 63)
+        return order
+
+
+def units_of(data: np.ndarray, avoided: Avoided | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, windows, least hash, hash of the bytes) of each unit of one text. Parts of a long text overlap, so no window is lost."""
     found = []
     for at in range(0, max(len(data) - LENGTH + 1, 0), CHUNK):
         part = data[at : at + CHUNK + LENGTH - 1]
         h = _grams(part)
-        least = _least(h, LENGTH - GRAM + 1)
+        order = h >> np.uint64(1)
+        least = _least(order if avoided is None else avoided.demoted(order), LENGTH - GRAM + 1)
         start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         size = np.diff(np.concatenate([start, [len(least)]]))
         if (size > RUN).any():
@@ -89,12 +115,12 @@ def units_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 class Group:
     """The documents of a group, smallest doc_id first, and their distinct units in order of first occurrence."""
 
-    def __init__(self, table: pa.Table, buckets: int):
+    def __init__(self, table: pa.Table, buckets: int, avoided: Avoided | None = None):
         ids = np.array([NO_DOC if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
         raw = [t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
         order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
         self.order, self.ids, self.raw = order, ids[order], [raw[i] for i in order]
-        each = [units_of(np.frombuffer(r, np.uint8)) for r in self.raw]
+        each = [units_of(np.frombuffer(r, np.uint8), avoided) for r in self.raw]
         self.doc = np.repeat(np.arange(len(each)), [len(e[0]) for e in each])
         self.start, self.size, least, whole = (np.concatenate([e[k] for e in each]) if each else np.zeros(0, np.int64) for k in range(4))
         pair = np.empty(len(least), [("least", np.uint64), ("whole", np.uint64)])
@@ -140,11 +166,28 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def send_units(buckets: int):
+def count_units(table: pa.Table) -> pa.Table:
+    """Of a sampled group, each least hash and how many distinct units have it."""
+    least, n = np.unique(Group(table, 1).least, return_counts=True)
+    return pa.table([pa.array(least.astype(np.int64)), pa.array(n.astype(np.int64))], names=["least", "n"])
+
+
+def strings_to_avoid(own: DataFrame, groups: int, total: int) -> np.ndarray:
+    """Hashes least in very many distinct units, by a sample of SAMPLED groups or a few more; no more than a third of the sample's units reach the driver."""
+    most = max(HOT_UNITS, HOT_SHARE * total / UNIT_BYTES)
+    if total / UNIT_BYTES <= most:
+        return np.zeros(0, np.uint64)
+    every = max(1, groups // SAMPLED)
+    counts = own.where(F.col("bid") % every == 0).groupBy("bid").applyInArrow(lean_group(count_units), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= max(SIGHTINGS, most * len(range(0, groups, every)) / groups)).select("least").toPandas()
+    return found["least"].to_numpy(np.uint64)
+
+
+def send_units(buckets: int, avoided: Callable[[], Avoided | None]):
     """Of each group, to each bucket: least hashes, hashes, and the smallest document of each distinct unit."""
 
     def run(table: pa.Table) -> pa.Table:
-        own, bid, rows = Group(table, buckets), table.column("bid")[0].as_py(), []
+        own, bid, rows = Group(table, buckets, avoided()), table.column("bid")[0].as_py(), []
         for b in np.unique(own.bucket).tolist():
             u = own.of_bucket(b)
             steps = np.diff(own.first_id[u], prepend=0)  # ascending: long runs of nothing compress well
@@ -180,14 +223,14 @@ def meet_units(table: pa.Table) -> pa.Table:
     return _rows(rows)
 
 
-def send_bytes(buckets: int):
+def send_bytes(buckets: int, avoided: Callable[[], Avoided | None]):
     """Of each group: the bytes of the wanted units, to their buckets; what is known already goes on beside them."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         rows = [(buckets * PARTS + r["bid"], r["bid"], r["bucket"], DONE, r["data"]) for r in found.to_pylist() if r["kind"] == DONE]
         wanted = [r for r in found.to_pylist() if r["kind"] == WANTED]
         if wanted:
-            own = Group(texts, buckets)
+            own = Group(texts, buckets, avoided())
             for r, places, part in ((r, places, part) for r in wanted for places, part in own.parts_of(r["bucket"], np.frombuffer(r["data"], "<u4"), buckets)):
                 u = own.of_bucket(r["bucket"])[places]
                 first = own.first[u]
@@ -280,11 +323,11 @@ def meet_bytes(table: pa.Table) -> pa.Table:
     return _rows(out)
 
 
-def removed_runs(buckets: int, more: int):
+def removed_runs(buckets: int, more: int, avoided: Callable[[], Avoided | None]):
     """doc_id, bytes, removed bytes and runs, what is kept, and the further columns, of each document of a group."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        own = Group(texts, buckets)
+        own = Group(texts, buckets, avoided())
         done, masks = np.zeros(len(own.first), bool), np.zeros(len(own.first), np.uint64)
         for r in found.to_pylist():
             u = own.of_bucket(r["bucket"])
@@ -337,11 +380,14 @@ def suffix_dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, pass_on: tuple
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_bytes))
     own = texts.withColumn("bid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "bid")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + "".join(f", _{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(pass_on))
-    units = own.groupBy("bid").applyInArrow(lean_group(send_units(n)), SCHEMA)
+    hashes = strings_to_avoid(own, n, total)
+    shared = spark.sparkContext.broadcast(Avoided(hashes)) if len(hashes) else None  # bounded by the sample
+    avoided = lambda: shared.value if shared else None
+    units = own.groupBy("bid").applyInArrow(lean_group(send_units(n, avoided)), SCHEMA)
     met = units.repartition(n, "key").groupBy("key").applyInArrow(lean_group(meet_units), SCHEMA)
-    sent = own.groupBy("bid").cogroup(met.repartition(n, "bid").groupBy("bid")).applyInArrow(lean_cogroup(send_bytes(n)), SCHEMA)
+    sent = own.groupBy("bid").cogroup(met.repartition(n, "bid").groupBy("bid")).applyInArrow(lean_cogroup(send_bytes(n, avoided)), SCHEMA)
     found = sent.repartition(n, "key").groupBy("key").applyInArrow(lean_group(meet_bytes), SCHEMA)
-    return own.groupBy("bid").cogroup(found.repartition(n, "bid").groupBy("bid")).applyInArrow(lean_cogroup(removed_runs(n, len(pass_on))), schema)
+    return own.groupBy("bid").cogroup(found.repartition(n, "bid").groupBy("bid")).applyInArrow(lean_cogroup(removed_runs(n, len(pass_on), avoided)), schema)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -312,6 +312,22 @@ def test_previous_factor(rows):
     assert common.tolist() == [0] + [len(os.path.commonprefix([words[a], words[b]])) for a, b in zip(order, order[1:], strict=False)]
 
 
+def test_op10_avoids_strings_that_are_everywhere(spark, monkeypatch):
+    """One string in every text, each time in another context; which string stands for a window changes no result."""
+    rng = np.random.default_rng(6)
+    rand = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    often, p = "the string that everybody has", rand(80)
+    texts = [rand(60) + often + rand(60) + often + rand(20) + (p if k % 9 == 0 else "") for k in range(120)] + [often * 6, often * 5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = removed_by_engine(df, group_bytes=2000)
+    monkeypatch.setattr(suffix, "HOT_UNITS", 20)
+    found, made = [], suffix.strings_to_avoid
+    monkeypatch.setattr(suffix, "strings_to_avoid", lambda *a: found.append(made(*a)) or found[-1])
+    assert removed_by_engine(df, group_bytes=2000) == plain == removed_by_hand([(d, t.encode()) for d, t in texts_of(df)])
+    least = suffix._grams(np.frombuffer(often.encode(), np.uint8)) >> np.uint64(1) & suffix.CUT
+    assert 0 < len(found[0]) < 40 and set(found[0].tolist()) & set(least.tolist())
+
+
 def test_op10_shared_and_missing_ids(spark):
     """Rows that share a doc_id, or have none, don't remove from one another, wherever they are grouped."""
     rng = np.random.default_rng(4)
