@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut, lean, prepare, read_documents, spread_join, whole_text
 
 SLOTS, KICKS = 4, 200
-#: Live digests at which a map task hands its index on and starts another.
-FLUSH = 100_000
+#: Live digests, and bytes of their texts, at which a task hands its index on and starts another.
+FLUSH, FLUSH_BYTES = 100_000, 24 << 20
 
 
 class CuckooIndex:
-    """A cuckoo filter whose slots point to stored keys: membership is asked of 16-bit tags, and a hit is verified against the whole key.
+    """A cuckoo filter whose slots point to stored keys: membership is asked of 16-bit tags, and a hit is verified against the whole key
+    (and by the caller against the stored value).
 
     Keys are digests (bytes of at least 12); each live one has a value. When an insertion finds no slot, the table is doubled and
     filled again from the stored keys, so nothing is lost.
@@ -93,42 +94,48 @@ def _merge(first, second):
     return max(ids, default=None), first[1] + second[1]
 
 
-def _indexed(docs: DataFrame, whole_buckets: bool) -> DataFrame:
-    """One row a live digest and index: the row a later, larger doc_id supersedes is deleted and the later one inserted.
+def _indexed(rows: DataFrame, whole_buckets: bool) -> DataFrame:
+    """One row a live digest and index, of rows (digest, keep_id, group_size, content). A hit is verified against the stored text; then the
+    row that a larger doc_id supersedes is deleted and the other inserted.
 
-    whole_buckets: rows come sorted by digest, so an index may only be handed on between two digests.
+    whole_buckets: rows come sorted by digest, so an index may only be handed on between two digests, and the texts end here.
     """
 
     def run(batches):
-        index, last = CuckooIndex(), None
+        index, last, held = CuckooIndex(), None, 0
 
         def out():
-            rows = index.items()
-            keys, values = [k for k, _ in rows], [v for _, v in rows]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())], ["digest", "keep_id", "group_size"])
+            found = index.items()
+            columns = [pa.array([k for k, _ in found], pa.binary()), pa.array([v[0] for _, v in found], pa.int64()), pa.array([v[1] for _, v in found], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns if whole_buckets else [*columns, pa.array([v[2] for _, v in found], pa.binary())], names)
 
         for batch in batches:
-            for key, doc, n in zip(*(batch.column(c).to_pylist() for c in ("digest", "keep_id", "group_size")), strict=True):
-                if index.live >= FLUSH and (key != last or not whole_buckets):
+            for key, doc, n, content in zip(*(batch.column(c).to_pylist() for c in ("digest", "keep_id", "group_size", "content")), strict=True):
+                if (index.live >= FLUSH or held >= FLUSH_BYTES) and (key != last or not whole_buckets):
                     yield out()
-                    index = CuckooIndex()
+                    index, held = CuckooIndex(), 0
                 last, live = key, index.get(key)
                 if live is None:
-                    index.insert(key, (doc, n))
+                    index.insert(key, (doc, n, content))
+                    held += len(content)
+                elif live[2] != content:
+                    raise ValueError(f"two texts share the digest {key.hex()}")
                 else:
                     index.delete(key)
-                    index.insert(key, _merge(live, (doc, n)))
+                    index.insert(key, (*_merge(live, (doc, n)), content))
         yield out()
 
-    return docs.mapInArrow(lean(run), "digest binary, keep_id long, group_size long")
+    schema = "digest binary, keep_id long, group_size long" + ("" if whole_buckets else ", content binary")
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.mapInArrow(lean(run), schema)
 
 
 def exact_groups(rows: DataFrame) -> DataFrame:
-    """digest, keep_id, group_size of rows (doc_id, digest).
+    """digest, keep_id, group_size of rows (doc_id, digest, content).
 
-    Each map task indexes its own rows first, so a digest shared by a third of all rows reaches its bucket as one row a task.
+    Each map task indexes its own rows first, so a digest shared by a third of all rows, and its text, reaches its bucket as a row a task.
     """
-    own = _indexed(rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")), False)
+    own = _indexed(rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "content"), False)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return _indexed(own.repartition(n, "digest").sortWithinPartitions("digest"), True)
 
@@ -136,12 +143,15 @@ def exact_groups(rows: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, digest (SHA-256 of the text with A-Z lower-cased, null as empty), keep_id, group_size, kept of every row.
 
-    The whole digest stands for the text: hits are verified against it. Rows that repeat a doc_id with an equal text count in
-    group_size and are kept or dropped alike. In a group without any doc_id keep_id is null and all rows stay.
+    Hits of the index are verified against the text itself; should two texts ever share a digest, the job fails and names it. Rows that
+    repeat a doc_id with an equal text count in group_size and are kept or dropped alike. In a group without any doc_id keep_id is null
+    and all rows stay.
     """
     prepare(docs.sparkSession)
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(ascii_lower(whole_text()).cast("binary"), 256)).alias("digest")))
-    return spread_join(rows, cut(exact_groups(rows)), ["digest"], "group_size").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), "digest")
+    content = ascii_lower(whole_text()).cast("binary")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("content"))
+    rows = cut(keyed.select("doc_id", "digest"))
+    return spread_join(rows, cut(exact_groups(keyed)), ["digest"], "group_size").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), "digest")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

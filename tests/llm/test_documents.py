@@ -8,7 +8,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from stemspark.llm import langid, media
+from stemspark.llm import exact, langid, media
 from stemspark.llm.exact import CuckooIndex, exact_dedup
 
 SF = "/root/testdata/sf0.01"
@@ -48,6 +48,21 @@ def test_op2_on_odd_rows(odd, empty):
     assert sorted(rows, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("flush", [1, 100_000])
+def test_op2_verifies_texts(spark, monkeypatch, flush):
+    """Equal digests of other texts are noticed, in a task's own index and between tasks."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact, "FLUSH", flush)
+    rows = spark.createDataFrame([(k, bytes([k % 3]) * 32, str(k % 3).encode()) for k in range(60)], "doc_id long, digest binary, content binary").repartition(7)
+    got = {bytes(r["digest"])[0]: (r["keep_id"], r["group_size"]) for r in exact.exact_groups(rows).collect()}
+    assert got == {0: (57, 20), 1: (58, 20), 2: (59, 20)}
+    for parts in (1, 7):
+        wrong = rows.withColumn("content", F.when(F.col("doc_id") == 30, F.lit(b"x")).otherwise(F.col("content"))).repartition(parts)
+        with pytest.raises(Exception, match="share the digest 0000"):
+            exact.exact_groups(wrong).collect()
+
+
 def png():
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
