@@ -8,6 +8,7 @@ a block is decoded without the ones before it, all words of a selector at once.
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -16,22 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import DEFAULT, encoder
-from .common import prepare, read_documents, shared_dir
+from .common import byte_rows, lean, prepare, read_documents, remove, shared_dir
 
 #: Values a word and bits each, by selector; the last selector marks an escape.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = tuple(60 // n for n in COUNTS)
 ESCAPE = 15
+#: Bits of each 16-bit number, one at least.
+BITS_OF = np.maximum(np.frexp(np.arange(1 << 16, dtype=np.float64))[1], 1).astype(np.int8)
 BLOCK_IDS = 1 << 16
-#: Fragments the encoder may cache: fewer than elsewhere, since whole texts are sorted beside it.
-CACHED = 200_000
 
 
 def encode(values: np.ndarray) -> bytes:
     """Greedy: each word takes as many values as fit."""
     n = len(values)
+    wide = BITS_OF[values] if values.dtype == np.uint16 else np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.int8)
     values = values.astype(np.uint64)
-    wide = np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.int8)
     selector = np.full(n, len(COUNTS) - 1, np.int8)
     selector[wide > 60] = ESCAPE
     most, span = wide, 1
@@ -90,29 +91,64 @@ def decode(data: bytes, n: int) -> np.ndarray:
     return out[:n]
 
 
+def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows, end to end, and where rows begin and end."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, np.int32)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+
+def packed_ids(docs: DataFrame, end_id: int = 0, vocabulary: str = DEFAULT) -> DataFrame:
+    """doc_id, sum, place, n, ids of every row: ids as 16-bit numbers if the vocabulary's fit, else 32-bit ones; null text is empty.
+
+    sum (of the ids) and place (of the row in its task) order rows that share a doc_id, so that many of them need not meet in one task.
+    """
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        own, end, at = encoder(vocabulary), end_id.to_bytes(4, "little"), TaskContext.get().partitionId() << 40
+        kind = np.dtype("<u2" if max(own.size, end_id + 1) <= 1 << 16 else "<u4")
+        for batch in batches:
+            ids = own.encode_batch([t or "" for t in batch.column("text").to_pylist()])
+            sums = [zlib.crc32(end, zlib.crc32(i)) for i in ids]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4 + 1
+            data = np.frombuffer(end.join([*ids, b""]), "<u4").astype(kind)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sums, pa.int64()), pa.array(at + np.arange(len(ids))), pa.array(sizes), byte_rows(data, np.cumsum(sizes))], ["doc_id", "sum", "place", "n", "ids"])
+            at += len(ids)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, sum long, place long, n long, ids binary")
+
+
 def write_blocks(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str = DEFAULT) -> None:
-    """Writes the ids of all documents in ascending doc_id order (null first, then by text): one file part a range of doc_ids."""
+    """Writes the ids of all documents in ascending doc_id order (null first, then by the ids' checksum): one file part a range of doc_ids.
+
+    Texts are encoded where they are read; only packed ids are written, ranged and sorted. An empty table gives an empty file set;
+    rows that repeat a doc_id are written as often as they occur.
+    """
     spark = docs.sparkSession
-    prepare(spark)
+    held = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"  # so that finding the ranges does not encode again
+    packed_ids(docs, end_id, vocabulary).write.option("compression", "zstd").parquet(held)
 
     def run(batches):
-        own, end, part, block, before = encoder(vocabulary, CACHED), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0, 0
+        part, block, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            ids = [i + end for i in own.encode_batch([t or "" for t in batch.column("text").to_pylist()])]
+            counts, (raw, offsets) = batch.column("n").to_numpy(), raw_bytes(batch.column("ids"))
             names, rows, at = batch.column("doc_id").to_pylist(), [], 0
-            while at < len(ids):
-                stop, size = at, 0
-                while stop < len(ids) and size < BLOCK_IDS:
-                    size += len(ids[stop]) // 4
-                    stop += 1
-                rows.append((part, block, before, names[at:stop], [len(i) // 4 for i in ids[at:stop]], encode(np.frombuffer(b"".join(ids[at:stop]), "<u4"))))
-                block, before, at = block + 1, before + size, stop
+            ends = np.cumsum(counts)
+            while at < len(counts):
+                start = int(ends[at] - counts[at])
+                stop = max(at + 1, int(np.searchsorted(ends, start + BLOCK_IDS)) + 1)
+                own, data = counts[at:stop], raw[offsets[at] : offsets[min(stop, len(counts))]]
+                rows.append((part, block, before, names[at:stop], own.tolist(), encode(data.view(f"<u{len(data) // int(own.sum())}"))))
+                block, before, at = block + 1, before + int(own.sum()), stop
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()), strict=True)], ["part", "block", "before", "doc_ids", "counts", "words"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part int, block int, before long, doc_ids array<long>, counts array<long>, words binary").write.option("compression", "zstd").parquet(path)
+    order = ("doc_id", "sum", "place")
+    ordered = spark.read.schema("doc_id long, sum long, place long, n long, ids binary").parquet(held).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "n", "ids").mapInArrow(lean(run), "part int, block int, before long, doc_ids array<long>, counts array<long>, words binary").write.option("compression", "zstd").parquet(path)
+    remove(spark, held)
 
 
 def read_blocks(spark, path: str) -> DataFrame:
@@ -126,13 +162,14 @@ def read_blocks(spark, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = decode(r["words"], sum(r["counts"])).astype("<u4").tobytes()
-                ends = np.cumsum(r["counts"])
-                begins = ends - r["counts"]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(begins + (starts[r["part"]] + r["before"]), pa.int64()), pa.array(r["counts"], pa.int64()), pa.array([ids[4 * a : 4 * b] for a, b in zip(begins, ends, strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+            names, counts = batch.column("doc_ids"), batch.column("counts")
+            for k, (part, before, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "before", "words")), strict=True)):
+                own = counts[k].values.to_numpy()
+                ends = np.cumsum(own)
+                ids = byte_rows(decode(words, int(own.sum())).astype("<u4"), ends)
+                yield pa.RecordBatch.from_arrays([names[k].values, pa.array(ends - own + (starts[part] + before)), counts[k].values, ids], ["doc_id", "start", "n_tokens", "ids"])
+
+    return blocks.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op8_simple8b(spark, sf_dir: str) -> DataFrame:
