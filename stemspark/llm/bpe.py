@@ -5,6 +5,11 @@ The vocabulary's own pre-tokenizer looks ahead over white space and matches cont
 only those certain cuts are used at which its matching also starts anew: after a letter before another ASCII sign,
 and before white space after anything else. Fragments between cuts are encoded independently, each distinct one once
 while a bounded cache holds it, and their ids are joined.
+
+A fragment that the pre-tokenizer leaves whole (letters, or ASCII signs, after at most one space) is merged by the ranks of the
+merged bytes. That gives the same ids as merging by pairs if every token comes from one merge, later merges have larger ids, and
+every token's own bytes merge to that token; a vocabulary for which this does not hold goes through the tokenizers library, as all
+other fragments do.
 """
 
 from __future__ import annotations
@@ -16,14 +21,13 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
 DEFAULT = "byte_bpe_50k.json"
 WHITE = " \t\n\r\x0b\x0c"
-#: Cached fragments of one worker, and the longest that is cached.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
-#: Fragments encoded in one row.
-ROW = 200
+#: Cached fragments of one worker, and the longest that is cached: longer ones seldom come again, and cost more to keep than to encode.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 12
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -58,24 +62,50 @@ def letters_and_signs(tokens) -> tuple[list[str], list[str]]:
 
 
 def fragment_pattern(tokens) -> str:
-    """A pattern whose matches are a text's fragments, end to end; anything that is no such letter or sign stays within its fragment."""
+    """A pattern whose matches are a text's fragments, end to end; anything that is no such letter or sign stays within its fragment.
+
+    The first branch is the common case, a word after a space, which the second one would match alike.
+    """
     letters, others = letters_and_signs(tokens)
     letter, other, white = ("".join(f"\\u{ord(c):04x}" for c in x) for x in (letters, others, WHITE))
     unit = f"[{white}]*[{other}]*[{letter}]*"
-    return f"{unit}(?:[^{letter}{other}{white}]+{unit})*"
+    return f" [{letter}]+(?=[{other}{white}])|{unit}(?:[^{letter}{other}{white}]+{unit})*"
+
+
+def whole_pattern(tokens) -> str:
+    """Fragments of one pre-token, or of a newline and one: letters of fragment_pattern, or ASCII signs, after at most one space."""
+    letter = "".join(f"\\u{ord(c):04x}" for c in letters_and_signs(tokens)[0])
+    return f"(\n?)( ?(?:[{letter}]+|[!-/:-@\\[-`{{-~]+))"
+
+
+def by_ranks(path: str, tokenizer: Tokenizer):
+    """A function from a whole pre-token's bytes to its ids; None if ranks of merged bytes do not determine this vocabulary's merges."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [model["vocab"][a + b] for a, b in pairs]
+    ordered = all(x < y for x, y in zip(ids, ids[1:], strict=False)) and all(max(model["vocab"][a], model["vocab"][b]) < i for (a, b), i in zip(pairs, ids, strict=True))
+    own = all([x.id for x in tokenizer.model.tokenize(token)] == [i] for token, i in model["vocab"].items())
+    if not ordered or not own or len(ids) + 256 != len(model["vocab"]):
+        return None
+    signs = byte_alphabet()
+    ranks = {bytes(signs[c] for c in token): i for token, i in model["vocab"].items()}
+    return tiktoken.Encoding("own", pat_str=r"\s+|\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
-class Slots(dict):
-    """The slot of each fragment; one not yet known gets the next slot and is listed as new."""
+class Fragments(dict):
+    """The ids of fragments; one not yet known is encoded and, unless it is long, remembered."""
 
-    def __init__(self):
-        self.new, self.next = [], 0
+    def __init__(self, encode):
+        self.encode = encode
 
-    def __missing__(self, fragment: str) -> int:
-        self.new.append(fragment)
-        slot = self[fragment] = self.next
-        self.next += 1
-        return slot
+    def __missing__(self, fragment: str) -> bytes:
+        ids = self.encode(fragment)
+        if len(fragment) <= CACHE_CHARS:
+            self[fragment] = ids
+        return ids
 
 
 class Encoder:
@@ -92,11 +122,9 @@ class Encoder:
         self.added = re.compile("|".join(special)) if special else None
         added = {t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.cut = re.compile(fragment_pattern(set(self.bytes_of.values()) - added)).findall
-        self.letters = set(letters_and_signs(set(self.bytes_of.values()) - added)[0])
-        self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
-        for i, b in self.bytes_of.items():
-            self.lengths[i] = len(b)
-        self._clear()
+        self.whole, self.merge = re.compile(whole_pattern(set(self.bytes_of.values()) - added)).fullmatch, by_ranks(path, self.tokenizer)
+        self.size = max(self.bytes_of) + 1
+        self.cache = Fragments(self._encode_fragment)
 
     def fragments(self, text: str) -> list[str]:
         if self.added is None or not self.added.search(text):
@@ -108,43 +136,18 @@ class Encoder:
         return found + self.cut(text[at:])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Distinct fragments are encoded once; each has a slot in the cache."""
+        """The ids of each text; distinct fragments are encoded once while the cache holds them."""
         if len(self.cache) > self.entries:
-            self._clear()
-        slot = self.cache.__getitem__
-        wanted = [list(map(slot, self.fragments(t))) for t in texts]
-        new, self.cache.new = self.cache.new, []
-        self.made += self._encode_fragments(new)
-        found = [b"".join(map(self.made.__getitem__, w)) for w in wanted]
-        for fragment in new:
-            if len(fragment) > CACHE_CHARS:
-                self.made[self.cache.pop(fragment)] = b""
-        return found
-
-    def _clear(self) -> None:
-        self.cache, self.made = Slots(), []
-
-    def _encode_fragments(self, fragments: list[str]) -> list[bytes]:
-        """Those that start with a space and end with a letter are encoded in rows, between certain cuts, and told apart by their bytes' lengths."""
-        found: list[bytes] = [b""] * len(fragments)
-        rows = [i for i, f in enumerate(fragments) if f[:1] == " " and f[-1] in self.letters]
-        chosen = set(rows)
-        alone = [i for i in range(len(fragments)) if i not in chosen]
-        for at in range(0, len(alone), ROW * 20):
-            part = alone[at : at + ROW * 20]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([fragments[i] for i in part], add_special_tokens=False), strict=True):
-                found[i] = ids_bytes(e.ids)
-        parts = [rows[at : at + ROW] for at in range(0, len(rows), ROW)]
-        for at in range(0, len(parts), 50):
-            some = parts[at : at + 50]
-            texts = [[fragments[i] for i in part] for part in some]
-            for part, own, e in zip(some, texts, self.tokenizer.encode_batch_fast(["".join(t) for t in texts], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(f.encode()) for f in own])) + 1
-                data, before = ids.tobytes(), 0
-                for i, end in zip(part, (4 * ends).tolist(), strict=True):
-                    found[i], before = data[before:end], end
-        return found
+            self.cache.clear()
+        known = self.cache.__getitem__
+        return [b"".join(map(known, self.fragments(t))) for t in texts]
+
+    def _encode_fragment(self, fragment: str) -> bytes:
+        whole = self.merge and self.whole(fragment)
+        if not whole:
+            return ids_bytes(self.tokenizer.encode(fragment, add_special_tokens=False).ids)
+        ids = ids_bytes(self.merge(whole[2].encode()))
+        return ids_bytes(self.merge(b"\n")) + ids if whole[1] else ids
 
     def decode(self, ids) -> str:
         """As the tokenizers library joins the bytes of the ids, special tokens included."""

@@ -1,4 +1,8 @@
+import json
 import zlib
+from collections import Counter
+from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -6,9 +10,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from stemspark.llm import simple8b
-from stemspark.llm.bpe import encoder, ids_bytes
+from stemspark.llm.bpe import Encoder, encoder, ids_bytes
 from stemspark.llm.encode import encode_documents
-from stemspark.llm.packing import pack, pack_sizes, pieces, places
+from stemspark.llm.packing import Steps, best_fit, fillings, least_bins, pack, pack_sizes, pieces, places
 from tokenizers import Tokenizer
 
 OWN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -24,6 +28,28 @@ def test_forced_boundaries_change_no_id(text, special):
     assert encoder().decode(numbers) == OWN.decode(numbers, skip_special_tokens=False)
 
 
+def test_merging_by_ranks_is_used_and_exact():
+    own = encoder()
+    words = [own.bytes_of[i].decode("utf-8", "ignore") for i in range(0, 50_000, 3)]
+    pieces = [x for a, b in zip(words, reversed(words), strict=True) for x in (a + b, " " + a.strip() + b.strip(), "\n" + a, "\n " + b.strip())]
+    assert own.merge and sum(bool(own.whole(p)) for p in pieces) > 40_000
+    assert own.encode_batch(pieces) == [ids_bytes(e.ids) for e in OWN.encode_batch_fast(pieces, add_special_tokens=False)]
+
+
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    """One whose second merge shadows the first: ranks of bytes would merge what the pairs do not."""
+    data = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    signs = sorted(k for k in data["model"]["vocab"] if len(k) == 1)
+    vocab = {c: i for i, c in enumerate(signs)} | {"bc": 256, "ab": 257, "abc": 258}
+    data["model"] |= {"vocab": vocab, "merges": [["b", "c"], ["a", "b"], ["ab", "c"]]}
+    data["added_tokens"] = []
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps(data))
+    own, want = Encoder(str(path)), Tokenizer.from_file(str(path))
+    texts = [" abc", "abcab c", " cabbage abcabc"]
+    assert own.merge is None and own.encode_batch(texts) == [ids_bytes(want.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_every_code_point():
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF][::7]
     texts = [f"ab{c} x{c}'s!{c}\n {c}1 {c}{c} ,{c}  {c}é,{c}9" for c in points]
@@ -98,6 +124,43 @@ def test_as_few_as_brute_force(sizes):
     assert sum(n for n, _ in pack_sizes(counts, 10)) == fewest(sizes, 10)
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.integers(4, 40), min_size=5, max_size=10))
+def test_without_a_bound_of_steps_no_fewer_bins_exist(sizes):
+    counts = {s: sizes.count(s) for s in sizes}
+    n = sum(n for n, _ in pack_sizes(counts, 50, None))
+    assert least_bins(counts, 50) <= n == fewest(sizes, 50) <= sum(n for n, _ in best_fit(counts, 50))
+
+
+def test_the_search_beats_best_fit():
+    sizes = [8, 7, 9, 23, 14, 29, 15, 31, 12]
+    counts = {s: sizes.count(s) for s in sizes}
+    assert sum(n for n, _ in best_fit(counts, 50)) == 4 and sum(n for n, _ in pack_sizes(counts, 50)) == 3
+    rng = np.random.default_rng(1)
+    many = dict(Counter(rng.integers(400, 1300, 200).tolist()))
+    assert least_bins(many, 2048) <= sum(n for n, _ in pack_sizes(many, 2048)) < sum(n for n, _ in best_fit(many, 2048))
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=7), st.integers(1, 20))
+def test_fillings_are_the_undominated_ones(sizes, gap):
+    """Against all subsets: one is dominated if another can be split into groups that each fit into one of its sizes."""
+    counts = Counter(sizes)
+    every = {tuple(sorted(c, reverse=True)) for k in range(len(sizes) + 1) for c in combinations(sizes, k) if sum(c) <= gap}
+
+    def over(a, b):
+        """a dominates b: the sizes of b fit into those of a (or into nothing more)."""
+        rooms = {tuple(sorted(a))}
+        for x in sorted(b, reverse=True):
+            rooms = {tuple(sorted((*r[:k], r[k] - x, *r[k + 1 :]))) for r in rooms for k in range(len(r)) if r[k] >= x}
+        return a != b and bool(rooms)
+
+    got = list(fillings(gap, dict(counts), Steps(None)))
+    assert len(got) == len(set(got)) and set(got) <= every
+    # each filling is at most as good as one that is kept
+    assert all(b in got or any(over(a, b) for a in got) for b in every)
+
+
 def test_op1_on_odd_rows(odd, empty):
     assert pack(pieces(empty)).count() == 0
     rows = pack(pieces(odd)).collect()
