@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded, lean_cogroup, lean_group, prepare, read_documents, whole_text
+from .common import byte_rows, guarded, lean_cogroup, lean_group, prepare, read_documents, whole_text
 
 LENGTH, GRAM, RUN = 50, 16, 48
 #: Bytes of text a group of documents has, and the most that are hashed at once.
-GROUP_BYTES, CHUNK = 8 << 20, 1 << 20
+GROUP_BYTES, CHUNK = 8 << 20, 1 << 17
 #: Into how many parts of its least hashes a bucket is split before bytes meet in it.
 PARTS = 16
 #: A string least in more distinct units than this, or than this share of all, is avoided; so many groups are looked at.
@@ -55,13 +55,23 @@ def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """A hash of each run of 16 bytes."""
-    h = data.astype(np.uint64) + np.uint64(1)
-    for n in (1, 2, 4, 8):
-        h = _mixed(h[:-n], h[n:])
+    """A hash of each run of 16 bytes, from the two words that begin at each byte."""
+    words = np.ndarray(max(len(data) - 7, 0), "<u8", data, strides=(1,)).astype(np.uint64) if len(data) >= GRAM else np.zeros(8, np.uint64)
+    h = words[:-8] * _A
+    h ^= h >> np.uint64(32)
+    h += words[8:]
+    h *= _B
+    h ^= h >> np.uint64(29)
+    h *= _C
+    h ^= h >> np.uint64(32)
     return h
 
 
+def _windows(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the `LENGTH` bytes at each place, from the strings that cover them."""
+    return _mixed(_mixed(grams[at], grams[at + 16]), _mixed(grams[at + 32], grams[at + LENGTH - GRAM]))
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` neighbours."""
     span = 1
@@ -89,23 +99,32 @@ class Avoided:
         return order
 
 
-def units_of(data: np.ndarray, avoided: Avoided | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, least hash, hash of the bytes) of each unit of one text. Parts of a long text overlap, so no window is lost."""
+def units_of(data: np.ndarray, ends: np.ndarray, avoided: Avoided | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, least hash, hash of the bytes) of each unit of texts that lie end to end, up to `ends`.
+
+    No window crosses the end of a text. The bytes are hashed in parts that overlap, so no window is lost.
+    """
     found = []
     for at in range(0, max(len(data) - LENGTH + 1, 0), CHUNK):
-        part = data[at : at + CHUNK + LENGTH - 1]
-        h = _grams(part)
+        h = _grams(data[at : at + CHUNK + LENGTH - 1])
         order = h >> np.uint64(1)
         least = _least(order if avoided is None else avoided.demoted(order), LENGTH - GRAM + 1)
-        start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        size = np.diff(np.concatenate([start, [len(least)]]))
+        n = len(least)
+        near = ends[np.searchsorted(ends, at + 1) : np.searchsorted(ends, at + n + LENGTH)] - at
+        crossing = np.zeros(n + 1, np.int32)
+        np.add.at(crossing, np.clip(near - LENGTH + 1, 0, n), 1)
+        np.add.at(crossing, np.clip(near, 0, n), -1)
+        crossing = np.cumsum(crossing[:-1], dtype=np.int32) > 0
+        start = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (crossing[1:] != crossing[:-1])]))
+        size = np.diff(np.concatenate([start, [n]]))
+        inside = ~crossing[start]
+        start, size = start[inside], size[inside]
         if (size > RUN).any():
             pieces = -(-size // RUN)
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start, size = np.repeat(start, pieces) + nth * RUN, np.minimum(RUN, np.repeat(size, pieces) - nth * RUN)
-        last = start + size - 1  # the windows there and at the start cover the whole unit
-        window = lambda p: _mixed(_mixed(_mixed(h[p], h[p + 16]), h[p + 32]), h[p + LENGTH - GRAM])
-        whole = _mixed(_mixed(window(start), window(last)), size.astype(np.uint64))
+        # the windows at the start and at the end cover the whole unit
+        whole = _mixed(_mixed(_windows(h, start), _windows(h, start + size - 1)), size.astype(np.uint64))
         found.append((start + at, size, least[start] & CUT, whole & CUT))
     if not found:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
@@ -119,16 +138,16 @@ class Group:
         ids = np.array([NO_DOC if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
         raw = [t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
         order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
-        self.order, self.ids, self.raw = order, ids[order], [raw[i] for i in order]
-        each = [units_of(np.frombuffer(r, np.uint8), avoided) for r in self.raw]
-        self.doc = np.repeat(np.arange(len(each)), [len(e[0]) for e in each])
-        self.start, self.size, least, whole = (np.concatenate([e[k] for e in each]) if each else np.zeros(0, np.int64) for k in range(4))
-        pair = np.empty(len(least), [("least", np.uint64), ("whole", np.uint64)])
-        pair["least"], pair["whole"] = least, whole
-        order = np.lexsort((np.arange(len(pair)), whole, least))
-        fresh = np.concatenate([[True], pair[order][1:] != pair[order][:-1]])[: len(pair)]
+        self.order, self.ids, raw = order, ids[order], [raw[i] for i in order]
+        self.ends = np.cumsum([len(r) for r in raw]).astype(np.int64)
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        self.start, self.size, least, whole = units_of(self.data, self.ends, avoided)
+        self.doc = np.searchsorted(self.ends, self.start, "right")
+        order = np.argsort(least ^ whole * _A, kind="stable")  # equal units are neighbours, in order of occurrence
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (least[order][1:] != least[order][:-1]) | (whole[order][1:] != whole[order][:-1])
         first = order[fresh]
-        of = np.empty(len(pair), np.int64)
+        of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(fresh) - 1
         by_place = np.argsort(first)
         rank = np.empty(len(first), np.int64)
@@ -234,9 +253,10 @@ def send_bytes(buckets: int, avoided: Callable[[], Avoided | None]):
             for r, places, part in ((r, places, part) for r in wanted for places, part in own.parts_of(r["bucket"], np.frombuffer(r["data"], "<u4"), buckets)):
                 u = own.of_bucket(r["bucket"])[places]
                 first = own.first[u]
-                pieces = [own.raw[k][a : a + n + LENGTH - 1] for k, a, n in zip(own.doc[first].tolist(), own.start[first].tolist(), own.size[first].tolist(), strict=True)]
-                head = np.array([len(u)], "<i8").tobytes() + own.first_id[u].astype("<i8").tobytes() + np.array([len(p) for p in pieces], "<u4").tobytes()
-                rows.append((r["bucket"] * PARTS + part, r["bid"], r["bucket"], BYTES, head + b"".join(pieces) + places.astype("<u4").tobytes()))
+                sizes = own.size[first] + LENGTH - 1
+                nth = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                head = np.array([len(u)], "<i8").tobytes() + own.first_id[u].astype("<i8").tobytes() + sizes.astype("<u4").tobytes()
+                rows.append((r["bucket"] * PARTS + part, r["bid"], r["bucket"], BYTES, head + own.data[np.repeat(own.start[first], sizes) + nth].tobytes() + places.astype("<u4").tobytes()))
         return _rows(rows)
 
     return run
@@ -314,7 +334,14 @@ def meet_bytes(table: pa.Table) -> pa.Table:
     size, doc = np.concatenate(size), np.concatenate(doc)
     windows, begin = size - LENGTH + 1, np.cumsum(size) - size
     nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    hit = longest_previous_factors(np.frombuffer(b"".join(data), np.uint8), np.repeat(begin, windows) + nth, np.repeat(doc, windows)) >= LENGTH
+    data, at, of = np.frombuffer(b"".join(data), np.uint8), np.repeat(begin, windows) + nth, np.repeat(doc, windows)
+    # a window whose hash no other has shares no `LENGTH` bytes with any; the others are put in order
+    h = _windows(_grams(data), at)
+    order = np.argsort(h)
+    again = h[order][1:] == h[order][:-1]
+    met = order[np.concatenate([[False], again]) | np.concatenate([again, [False]])]
+    hit = np.zeros(len(at), bool)
+    hit[met] = longest_previous_factors(data, at[met], of[met]) >= LENGTH
     masks = np.add.reduceat(hit.astype(np.uint64) << nth.astype(np.uint64), np.cumsum(windows) - windows)
     out, at = [], 0
     for r, place, n in zip(rows, places, counts, strict=True):
@@ -336,30 +363,30 @@ def removed_runs(buckets: int, more: int, avoided: Callable[[], Avoided | None])
             else:
                 n = len(r["data"]) // 12
                 masks[u[np.frombuffer(r["data"], "<u4", n)]] = np.frombuffer(r["data"], "<u8", n, 4 * n)
-        all_windows = done[own.unit] | (own.ids[own.doc] > own.first_id[own.unit]) if len(own.unit) else np.zeros(0, bool)
-        some = ~all_windows & (masks[own.unit] > 0) if len(own.unit) else all_windows
-        rows = []
-        edges = np.searchsorted(own.doc, np.arange(len(own.raw) + 1))
-        for k, raw in enumerate(own.raw):
-            a, z = edges[k], edges[k + 1]
-            cover = np.zeros(len(raw) + 1, np.int32)
-            hit = np.arange(a, z)[all_windows[a:z]]
-            np.add.at(cover, own.start[hit], 1)
-            np.add.at(cover, own.start[hit] + own.size[hit] - 1 + LENGTH, -1)
-            for u in np.arange(a, z)[some[a:z]].tolist():
-                bits = int(masks[own.unit[u]])
-                for j in range(int(own.size[u])):
-                    if bits >> j & 1:
-                        cover[own.start[u] + j] += 1
-                        cover[own.start[u] + j + LENGTH] -= 1
-            gone = np.cumsum(cover[:-1]) > 0
-            turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            spans = turns.reshape(-1, 2)
-            edge = [0, *turns.tolist(), len(raw)]
-            kept = b"".join(raw[x:y] for x, y in zip(edge[::2], edge[1::2], strict=True))
-            rows.append((None if own.ids[k] == NO_DOC else int(own.ids[k]), len(raw), int(gone.sum()), len(spans), kept))
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        whole = done[own.unit] | (own.ids[own.doc] > own.first_id[own.unit]) if len(own.unit) else np.zeros(0, bool)
+        n, begins = len(own.data), np.concatenate([[0], own.ends])[:-1]
+        cover = np.zeros(n + 1, np.int8)  # a window starts at a place once, and fewer than a hundred cover a byte
+        np.add.at(cover, own.start[whole], 1)
+        np.add.at(cover, (own.start + own.size - 1 + LENGTH)[whole], -1)
+        part = np.flatnonzero(~whole & (masks[own.unit] > 0)) if len(own.unit) else np.zeros(0, np.int64)
+        bits = masks[own.unit[part]]
+        for j in range(RUN if len(part) else 0):
+            at = own.start[part[bits >> np.uint64(j) & np.uint64(1) > 0]] + j
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + LENGTH, -1)
+        gone = np.cumsum(cover[:-1], dtype=np.int16) > 0
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1]
+        opens[begins[begins < n]] = gone[begins[begins < n]]  # a run ends with its text
+        lengths = own.ends - begins
+
+        def total(marks: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(lengths), np.int64)
+            out[lengths > 0] = np.add.reduceat(marks, begins[lengths > 0], dtype=np.int64) if n else 0
+            return out
+
+        removed = total(gone)
+        made = [pa.array([None if x == NO_DOC else x for x in own.ids.tolist()], pa.int64()), pa.array(lengths), pa.array(removed), pa.array(total(opens)), byte_rows(own.data[~gone], np.cumsum(lengths - removed))]
         passed = texts.select([f"_{k}" for k in range(more)]).take(pa.array(own.order, pa.int64()))
         return pa.table([*made, *passed.columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *passed.column_names])
 
