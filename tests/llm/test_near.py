@@ -78,12 +78,16 @@ def test_first_occurrences_may_stay(spark):
 
 def scan_by_hand(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
-    hits = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    at: dict = {}
+    for k in (2, 3, 4):
+        for i in range(len(words) - k + 1):
+            at.setdefault(tuple(words[i : i + k]), []).append(i)
+    hits = [(i, label) for phrase, label in licenses.PHRASES.items() for i in at.get(tuple(phrase.split()), [])]
     starts, base, labels, score = [i for i, _ in hits], {x for _, x in hits}, set(), 1.0 if hits else 0.0
     for template, label in licenses.TEMPLATES.items():
         wanted = template.split()
         n = len(wanted) - licenses.K + 1
-        votes = sorted((i - p, p) for i in range(len(words) - licenses.K + 1) for p in range(n) if words[i : i + licenses.K] == wanted[p : p + licenses.K])
+        votes = sorted((i - p, p) for p in range(n) for i in at.get(tuple(wanted[p : p + licenses.K]), []))
         runs: list = []
         for diagonal, p in votes:
             if not runs or diagonal - runs[-1][0] > licenses.SHIFT:
