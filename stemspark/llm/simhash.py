@@ -30,8 +30,8 @@ BUCKET, ROWS, PAIRS = 20_000, 20_000, 200_000
 FREE_BITS = 16
 #: The stage: words a shingle, least Jaccard similarity; bands and their rows, which leave out (1 - 0.8 ** 6) ** 40 = 5e-6 of the pairs at 0.8, fewer above.
 STAGE_WORDS, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 40, 6
-#: Hashes that a task of the stage compares at once.
-PART_HASHES = 500_000
+#: Hashes, and members, that a task of the stage compares at once.
+PART_HASHES, PART_MEMBERS = 500_000, 500
 _FACTORS, _ADDENDS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
 _FACTORS |= np.uint64(1)
 
@@ -351,8 +351,8 @@ def similar(docs: DataFrame) -> DataFrame:
     """doc_id, sum (of the text), fp (of the shingle set), component_id (the smallest doc_id that links of SIMILARITY or more reach), kept.
 
     Equal sets collapse first. Sets that share the least hashes of a band are candidates; those that hang together meet in one task,
-    which verifies by the sets themselves. What is too large for a task is dealt into parts: first each part, then one member of each
-    component found so, then, unless all members of the group hang together by now, each pair of its parts.
+    which verifies by the sets themselves. What is too large for a task is dealt into parts: first each part, then, as long as that joins
+    some, one member of each component found so, then, unless all members of the group hang together by now, each pair of its parts.
     Null texts, rows without words and null doc_ids are as in near_duplicates. Of each component the document with the smallest
     (doc_id, sum) is kept, null doc_ids last; rows that share a doc_id only are several documents, rows that repeat both are one.
     """
@@ -382,19 +382,27 @@ def similar(docs: DataFrame) -> DataFrame:
     roots = cut(components(edges))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     members = cut(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "first", "size", "root"))
-    weights = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") + BANDS) / PART_HASHES).alias("parts"))
+    dealt = lambda hashes: F.greatest(F.ceil(F.sum(hashes + BANDS) / PART_HASHES), F.ceil(F.count("*") / PART_MEMBERS))
+    weights = members.groupBy("root").agg(dealt(F.col("size")).alias("parts"))
     members = members.join(weights, "root").select("fp", "first", "root", "parts", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
     sent = cut(own.join(members, F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sum") == F.col("first.sum"))).select("root", "part", "parts", "fp", "text").mapInArrow(lean(contents), "root long, part long, parts long, fp long, hashes binary, bands binary"))
     found = cut(sent.withColumn("label", F.col("fp")).groupBy("root", "part").applyInArrow(lean_group(_verify), "a long, b long"))
     large = sent.where("parts > 1")
     if not large.isEmpty():
-        # one member of each part found so far meets the others' first, so that a dense group hangs together before its parts meet
-        known = components(found)
+        # one member of each component found so far meets others, as long as that joins some: a dense group hangs together before its parts meet
         labelled = lambda known: large.join(known, large["fp"] == known["node"], "left").select(large["root"], "part", "parts", "fp", "hashes", "bands", F.coalesce(known["root"], "fp").alias("label"))
-        first = cut(labelled(known).where("fp = label"))
-        weights = first.groupBy("root").agg(F.ceil(F.sum(F.length("hashes") / 8 + BANDS) / PART_HASHES).alias("few"))
-        first = first.join(weights, "root").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("few"))).select("root", "part", "parts", "fp", "hashes", "bands", "label")
-        found = cut(found.union(first.groupBy("root", "part").applyInArrow(lean_group(_verify), "a long, b long")))
+        left, tries = None, 0
+        while True:
+            first = cut(labelled(components(found)).where("fp = label"))
+            weights = cut(first.groupBy("root").agg(dealt(F.length("hashes") / 8).alias("few"), F.count("*").alias("n")))
+            n, most = weights.agg(F.sum("n"), F.max("few")).first()
+            if n == left:
+                break
+            left, tries = n, tries + 1
+            first = first.join(weights, "root").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(tries)), F.col("few"))).select("root", "part", "parts", "fp", "hashes", "bands", "label")
+            found = cut(found.union(first.groupBy("root", "part").applyInArrow(lean_group(_verify), "a long, b long")))
+            if most <= 1:
+                break
         loose = labelled(components(found))
         open_ = loose.groupBy("root").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("root")
         pairs = loose.join(open_, "root", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("other <> part")

@@ -237,9 +237,10 @@ def near_copies(spark):
     return spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("part", [2_000_000, 300, 700])
-def test_the_stage_drops_copies_of_a_similarity_of_four_fifths(near_copies, monkeypatch, part):
+@pytest.mark.parametrize("part,members", [(2_000_000, 500), (300, 500), (2_000_000, 3)])
+def test_the_stage_drops_copies_of_a_similarity_of_four_fifths(near_copies, monkeypatch, part, members):
     monkeypatch.setattr(simhash, "PART_HASHES", part)
+    monkeypatch.setattr(simhash, "PART_MEMBERS", members)
     want = similar_by_hand(texts_of(near_copies))
     assert similar_by_engine(near_copies) == want
     kept = {r["doc_id"] for r in simhash.stage(near_copies.sparkSession, near_copies, SF).collect()}
