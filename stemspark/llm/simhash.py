@@ -31,7 +31,7 @@ FREE_BITS = 16
 #: The stage: words a shingle, least Jaccard similarity; bands and their rows, which leave out (1 - 0.8 ** 6) ** 40 = 5e-6 of the pairs at 0.8, fewer above.
 STAGE_WORDS, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 40, 6
 #: Hashes, and members, that a task of the stage compares at once.
-PART_HASHES, PART_MEMBERS = 500_000, 500
+PART_HASHES, PART_MEMBERS = 500_000, 10_000
 _FACTORS, _ADDENDS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
 _FACTORS |= np.uint64(1)
 
@@ -352,7 +352,7 @@ def similar(docs: DataFrame) -> DataFrame:
 
     Equal sets collapse first. Sets that share the least hashes of a band are candidates; those that hang together meet in one task,
     which verifies by the sets themselves. What is too large for a task is dealt into parts: first each part, then, as long as that joins
-    some, one member of each component found so, then, unless all members of the group hang together by now, each pair of its parts.
+    half of them, one member of each component found so, then, unless all members of the group hang together by now, each pair of its parts.
     Null texts, rows without words and null doc_ids are as in near_duplicates. Of each component the document with the smallest
     (doc_id, sum) is kept, null doc_ids last; rows that share a doc_id only are several documents, rows that repeat both are one.
     """
@@ -389,14 +389,14 @@ def similar(docs: DataFrame) -> DataFrame:
     found = cut(sent.withColumn("label", F.col("fp")).groupBy("root", "part").applyInArrow(lean_group(_verify), "a long, b long"))
     large = sent.where("parts > 1")
     if not large.isEmpty():
-        # one member of each component found so far meets others, as long as that joins some: a dense group hangs together before its parts meet
+        # one member of each component found so far meets others, as long as that joins half of them: a dense group hangs together before its parts meet
         labelled = lambda known: large.join(known, large["fp"] == known["node"], "left").select(large["root"], "part", "parts", "fp", "hashes", "bands", F.coalesce(known["root"], "fp").alias("label"))
         left, tries = None, 0
         while True:
             first = cut(labelled(components(found)).where("fp = label"))
             weights = cut(first.groupBy("root").agg(dealt(F.length("hashes") / 8).alias("few"), F.count("*").alias("n")))
             n, most = weights.agg(F.sum("n"), F.max("few")).first()
-            if n == left:
+            if left and 2 * n > left:  # too few were joined for another round to pay
                 break
             left, tries = n, tries + 1
             first = first.join(weights, "root").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(tries)), F.col("few"))).select("root", "part", "parts", "fp", "hashes", "bands", "label")
