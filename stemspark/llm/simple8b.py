@@ -26,6 +26,8 @@ ESCAPE = 15
 #: Bits of each 16-bit number, one at least.
 BITS_OF = np.maximum(np.frexp(np.arange(1 << 16, dtype=np.float64))[1], 1).astype(np.int8)
 BLOCK_IDS = 1 << 16
+#: Fragments the encoder may cache: more than elsewhere, since nothing else is held beside it.
+CACHED = 600_000
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -106,7 +108,7 @@ def packed_ids(docs: DataFrame, end_id: int = 0, vocabulary: str = DEFAULT) -> D
     prepare(docs.sparkSession)
 
     def run(batches):
-        own, end, at = encoder(vocabulary), end_id.to_bytes(4, "little"), TaskContext.get().partitionId() << 40
+        own, end, at = encoder(vocabulary, CACHED), end_id.to_bytes(4, "little"), TaskContext.get().partitionId() << 40
         kind = np.dtype("<u2" if max(own.size, end_id + 1) <= 1 << 16 else "<u4")
         for batch in batches:
             ids = own.encode_batch([t or "" for t in batch.column("text").to_pylist()])
