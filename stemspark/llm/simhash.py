@@ -26,6 +26,8 @@ from .common import cut, guarded, lean, lean_group, prepare, read_documents, spr
 BITS, BUDGET, WORDS, SEED = 64, 4, 4, 42
 #: A bucket of more fingerprints is split further; and the rows a task joins at once, the node pairs it expands at once.
 BUCKET, ROWS, PAIRS = 20_000, 20_000, 200_000
+#: So many links, 32 MB, are united by one task; more by stars in rounds.
+UNITED = 2_000_000
 #: So few free bits bound a bucket by themselves.
 FREE_BITS = 16
 #: The stage: words a shingle, least Jaccard similarity; bands and their rows, which leave out (1 - 0.8 ** 6) ** 40 = 5e-6 of the pairs at 0.8, fewer above.
@@ -237,9 +239,23 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     return out
 
 
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of all links at once."""
+    held = [np.stack([batch.column(c).to_numpy() for c in ("low", "high")]) for batch in batches if batch.num_rows]
+    if held:
+        nodes, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        parts, at = Parts(len(nodes)), at.reshape(2, -1)
+        parts.join(at[0], at[1])
+        below = np.flatnonzero(parts.label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[parts.label[below]])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root of every node with a link: the smallest node reachable, by alternating large and small stars until only stars are left."""
+    """node, root of every node with a link: the smallest node reachable. Up to UNITED links one task unites them, so that the driver plans
+    few jobs; more by alternating large and small stars until only stars are left."""
     current = cut(edges.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct())
+    if current.count() <= UNITED:
+        return cut(current.coalesce(1).mapInArrow(lean(_unite), "node long, root long"))
     while True:
         # large star: larger neighbours go to the smallest of a node and its neighbours
         both = current.union(current.select(F.col("high").alias("low"), F.col("low").alias("high")))
@@ -379,7 +395,7 @@ def similar(docs: DataFrame) -> DataFrame:
     met = distinct.select("fp", F.posexplode("bands").alias("band", "key"))
     shared = cut(met.groupBy("band", "key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1"))
     edges = spread_join(met, shared, ["band", "key"], "n").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
-    roots = cut(components(edges))
+    roots = components(edges)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     members = cut(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "first", "size", "root"))
     dealt = lambda hashes: F.greatest(F.ceil(F.sum(hashes + BANDS) / PART_HASHES), F.ceil(F.count("*") / PART_MEMBERS))

@@ -194,6 +194,21 @@ def test_components_of_a_chain(spark):
     assert {(r["node"], r["root"]) for r in simhash.components(df).collect()} == {(i, 0) for i in range(1, 31)} | {(100, 99)}
 
 
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    """What the driver keeps grows with its jobs and their tasks; stars took dozens of jobs for any links."""
+    edges = [(i, i + 1) for i in range(60)] + [(200, 100), (200, 150), (-3, 200), (7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {(i, 0) for i in range(1, 61)} | {(x, -3) for x in (100, 150, 200)}
+    spark.sparkContext.setJobGroup("few", "few links")
+    got = simhash.components(df).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("", "")
+    assert {(r["node"], r["root"]) for r in got} == want and jobs <= 12
+    monkeypatch.setattr(simhash, "UNITED", 0)
+    assert {(r["node"], r["root"]) for r in simhash.components(df).collect()} == want
+    assert simhash.components(df.where("a > b AND a < b")).count() == 0
+
+
 def similar_by_hand(texts):
     """The smallest doc_id of each part of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
     sets = []
