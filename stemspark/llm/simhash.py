@@ -7,8 +7,9 @@ free bits are traversed together: differing bits accumulate over path-compressed
 the budget, or when all leaves below it are known to hang together. Only links that join two parts are returned, so a group of
 any size gives fewer links than it has members.
 
-The stage of the pipeline links by similarity instead: Jaccard 0.8 or more of the sets of five-word shingles, candidates by MinHash
-bands, each verified by the sets. At 0.8 fingerprints differ in 10 bits of 64 and more, for which blocks no longer separate.
+The stage of the pipeline links by similarity: Jaccard 0.8 or more of the sets of five-word shingles. At 0.8 one fingerprint bit in
+6.6 differs, so that a set has a fingerprint of 896 bits; each of its 37 parts of 24 bits is joined as above, with a budget of 2,
+and a pair is a candidate if two whole words of the fingerprint are near, too. Candidates are verified by the sets themselves.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, guarded, lean, lean_group, prepare, read_documents, spread_join, text_sum
+from .common import byte_rows, cut, guarded, lean, lean_group, prepare, read_documents, spread_join, text_sum
 
 BITS, BUDGET, WORDS, SEED = 64, 4, 4, 42
 #: A bucket of more fingerprints is split further; and the rows a task joins at once, the node pairs it expands at once.
@@ -30,11 +31,19 @@ BUCKET, ROWS, PAIRS = 20_000, 20_000, 200_000
 UNITED = 2_000_000
 #: So few free bits bound a bucket by themselves.
 FREE_BITS = 16
-#: The stage: words a shingle, least Jaccard similarity; bands and their rows, which leave out (1 - 0.8 ** 6) ** 40 = 5e-6 of the pairs at 0.8, fewer above.
-STAGE_WORDS, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 40, 6
+#: The stage: words a shingle, least Jaccard similarity; words of a fingerprint.
+STAGE_WORDS, SIMILARITY, WIDE = 5, 0.8, 14
+#: Tables, each of three bytes of the fingerprint, and the bits that may differ in one: leaves out (1 - 0.273) ** 37 = 8e-6 of the pairs at 0.8, fewer above.
+TABLES, TABLE_BUDGET = 37, 2
+#: Leaves of a node that are compared one by one.
+LEAVES = 8
+#: The first words of the fingerprint and their bits that may differ (of a pair at 0.8: 19, deviation 4); the same of all words (135, deviation 11).
+HEAD, HEAD_BUDGET, WIDE_BUDGET = 2, 40, 224
+#: A set in a table: its three bytes, key and first words; sets that are dealt to tables at once.
+ENTRY, DEALT = np.dtype([("value", "<u4"), ("fp", "<i8"), ("head", "<u8", (HEAD,))]), 8192
 #: Hashes, and members, that a task of the stage compares at once.
 PART_HASHES, PART_MEMBERS = 500_000, 10_000
-_FACTORS, _ADDENDS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+_FACTORS, _ADDENDS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, WIDE), np.uint64)
 _FACTORS |= np.uint64(1)
 
 
@@ -102,10 +111,11 @@ class Parts:
         return tuple(np.concatenate(made, axis=1)) if made else (np.zeros(0, int), np.zeros(0, int))
 
 
-def trie_links(bucket: np.ndarray, value: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indices) that connect whatever differs in at most `budget` bits within a bucket. Sorted by bucket, value; no repeats.
+def trie_links(bucket: np.ndarray, value: np.ndarray, budget: int = BUDGET, check=None, leaves: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indices) that connect whatever differs in at most `budget` bits within a bucket, and passes check(i, j). Sorted by bucket, value.
 
-    A node is a run of sorted leaves; its depth is the number of leading bits all of them share.
+    A node is a run of sorted leaves; its depth is the number of leading bits all of them share. Runs of equal values are halved.
+    Pairs of nodes of at most `leaves` leaves, if that is over one, are compared leaf by leaf.
     """
     n = len(value)
     parts, links = Parts(n), []
@@ -114,17 +124,15 @@ def trie_links(bucket: np.ndarray, value: np.ndarray, budget: int = BUDGET) -> t
 
     def depth(a, z):
         x = value[a] ^ value[z]
-        high = np.zeros(len(x), np.int64)
-        for s in (32, 16, 8, 4, 2, 1):
-            big = x >> np.uint64(s) > 0
-            high += s * big
-            x = np.where(big, x >> np.uint64(s), x)
-        return np.where(value[a] == value[z], BITS, BITS - 1 - high)
+        upper = x >> np.uint64(32)
+        high = np.frexp(np.where(upper > 0, upper, x).astype(np.float64))[1] - 1 + 32 * (upper > 0)  # halves are exact as doubles
+        return np.where(a == z, BITS + 1, np.where(x == 0, BITS, BITS - 1 - high))
 
     def split(a, z, d):
-        """The first leaf of the right child: the first with bit d set."""
-        low, high = a.copy(), z.copy()
-        bit = np.uint64(1) << (BITS - 1 - d).astype(np.uint64)
+        """The first leaf of the right child: the first with bit d set; of equal values the middle one."""
+        even = d >= BITS
+        low, high = np.where(even, (a + z + 1) // 2, a), np.where(even, (a + z + 1) // 2, z)
+        bit = np.uint64(1) << np.maximum(BITS - 1 - d, 0).astype(np.uint64)
         while (low < high).any():
             mid = (low + high) // 2
             right = value[mid] & bit > 0
@@ -133,9 +141,15 @@ def trie_links(bucket: np.ndarray, value: np.ndarray, budget: int = BUDGET) -> t
 
     def prefix_errors(a, c, d):
         """Differing bits among the first d."""
-        x = np.where(d > 0, (value[a] ^ value[c]) >> (BITS - np.maximum(d, 1)).astype(np.uint64), np.uint64(0))
+        x = np.where(d > 0, (value[a] ^ value[c]) >> (BITS - np.clip(d, 1, BITS)).astype(np.uint64), np.uint64(0))
         return np.bitwise_count(x)
 
+    def join(x, y):
+        if check:
+            passed = check(x, y)
+            x, y = x[passed], y[passed]
+        links.append(np.stack(parts.join(x, y)))
+
     many = ends > starts
     stack = [(starts[many], ends[many], starts[many], ends[many])]
     while stack:
@@ -154,9 +168,22 @@ def trie_links(bucket: np.ndarray, value: np.ndarray, budget: int = BUDGET) -> t
         depth_1, depth_2 = depth(a, b), depth(c, d)
         near = same | (prefix_errors(a, c, np.minimum(depth_1, depth_2)) <= budget)
         a, b, c, d, same, depth_1, depth_2 = (v[near] for v in (a, b, c, d, same, depth_1, depth_2))
+        if leaves > 1:
+            few = (b - a < leaves) & (d - c < leaves)
+            ones = [np.minimum(a[few] + k, b[few]) for k in range(leaves)]  # shorter nodes repeat their last leaf
+            others = [np.minimum(c[few] + k, d[few]) for k in range(leaves)]
+            value_1, value_2, met = [value[x] for x in ones], [value[x] for x in others], []
+            for i in range(leaves):
+                for k in range(leaves):
+                    at = np.flatnonzero(np.bitwise_count(value_1[i] ^ value_2[k]) <= budget)
+                    x, y = ones[i][at], others[k][at]
+                    apart = parts.label[x] != parts.label[y]
+                    met.append(np.stack([x[apart], y[apart]]))
+            join(*np.concatenate(met, axis=1))
+            a, b, c, d, same, depth_1, depth_2 = (v[~few] for v in (a, b, c, d, same, depth_1, depth_2))
         leaf = ~same & (a == b) & (c == d)
         if leaf.any():
-            links.append(np.stack(parts.join(a[leaf], c[leaf])))
+            join(a[leaf], c[leaf])
         inner = same & (a < b)
         new = []
         if inner.any():
@@ -304,52 +331,106 @@ def shingles(text: str, words: int = STAGE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in each), np.uint64))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """Of each band the hash of its least hashes; sets without shingles have no bands."""
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """The majority of each bit over the hashes of a set, each spread to WIDE words; sets without shingles have none."""
     if not len(found):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 512):
-        mixed = _FACTORS[:, None] * found[None, at : at + 512]
-        mixed += _ADDENDS[:, None]
-        np.minimum(least, mixed.min(1), out=least)
-    raw, step = least.tobytes(), 8 * BAND_ROWS
-    return np.array([xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k) for k in range(BANDS)], np.uint64).view(np.int64)
+        return np.zeros(0, np.uint64)
+    ones = np.zeros(BITS * WIDE, np.int64)
+    for at in range(0, len(found), 255):
+        mixed = found[at : at + 255, None] ^ _ADDENDS
+        mixed *= _FACTORS
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)  # 255 rows at most
+    return np.packbits(ones * 2 > len(found), bitorder="little").view("<u8")
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bucket (a byte of the fingerprint and its value), entries of the sets that have it."""
+
+    def entries(fp: np.ndarray, wide: np.ndarray):
+        raw = wide.view(np.uint8)
+        for at in range(3 * TABLES):
+            table = at // 3 * 3
+            order = np.argsort(raw[:, at], kind="stable")
+            own = raw[order, table : table + 3].astype(np.uint32)
+            out = np.empty(len(order), ENTRY)
+            out["value"], out["fp"], out["head"] = own[:, 0] << 16 | own[:, 1] << 8 | own[:, 2], fp[order], wide[order, :HEAD]
+            keys = raw[order, at]
+            last = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]]))
+            yield pa.RecordBatch.from_arrays([pa.array(at * 256 + keys[last].astype(np.int64)), byte_rows(out, last + 1)], ["bucket", "entries"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column("fp").to_numpy(), np.frombuffer(b"".join(batch.column("wide").to_pylist()), "<u8").reshape(-1, WIDE)))
+            size += batch.num_rows
+        if size >= DEALT:
+            yield from entries(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, size = [], 0
+    if size:
+        yield from entries(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _join_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket; whole buckets are joined by tries, many at a time."""
+
+    def links(bucket: np.ndarray, rows: np.ndarray):
+        order = np.lexsort((rows["value"], bucket))
+        bucket, rows = bucket[order], rows[order]
+        head = np.ascontiguousarray(rows["head"])
+        near = lambda x, y: np.bitwise_count(head[x] ^ head[y]).sum(1) <= HEAD_BUDGET
+        i, j = trie_links(bucket, rows["value"].astype(np.uint64) << np.uint64(BITS - 24), TABLE_BUDGET, near, LEAVES)
+        return pa.RecordBatch.from_arrays([pa.array(rows["fp"][i]), pa.array(rows["fp"][j])], ["a", "b"])
+
+    held, size = [], 0
+    for batch in batches:
+        raw = batch.column("entries").to_pylist()
+        held.append((np.repeat(batch.column("bucket").to_numpy(), [len(r) // ENTRY.itemsize for r in raw]), np.frombuffer(b"".join(raw), ENTRY)))
+        size += len(held[-1][0])
+        if size >= ROWS:
+            bucket, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+            edge = np.searchsorted(bucket, bucket[-1])
+            if edge:
+                yield links(bucket[:edge], rows[:edge])
+            held, size = [(bucket[edge:], rows[edge:])], len(bucket) - edge
+    if size:
+        yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """a, b: links between sets (fp, and their wide fingerprints) that connect all that are within the budgets in some table."""
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = distinct.where(F.length("wide") > 0).select("fp", "wide").mapInArrow(lean(_deal), "bucket long, entries binary")
+    return buckets.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_join_tables), "a long, b long")
 
 
 def set_key(found: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(found.tobytes(), SEED)) if len(found) else 0
 
 
-def verified_links(sets: list[np.ndarray], bands: np.ndarray, label: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links (indices) that connect all sets that share a band and have a Jaccard similarity of `least` or more. label: parts known before."""
+def verified_links(sets: list[np.ndarray], wide: np.ndarray, label: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (indices) that connect all sets with near fingerprints and a Jaccard similarity of `least` or more. label: parts known before."""
     sizes = np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
     local = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark, label, links, tried = np.zeros(len(local), bool), np.unique(label, return_inverse=True)[1], [], set()
-    for k in range(bands.shape[1]):
-        order = np.argsort(bands[:, k], kind="stable")
-        cuts = np.flatnonzero(np.diff(bands[order, k])) + 1
-        for bucket in np.split(order, cuts):
-            if len(bucket) < 2 or (label[bucket] == label[bucket[0]]).all() or (key := bucket.tobytes()) in tried:
-                continue
-            tried.add(key)
-            for at in range(1, len(bucket)):
-                y = bucket[at]
-                rest = bucket[:at]
-                low, high = np.minimum(sizes[rest], sizes[y]), np.maximum(sizes[rest], sizes[y])
-                rest = rest[(label[rest] != label[y]) & (low >= least * high)]
-                own, take = local[ends[y] - sizes[y] : ends[y]], 1
-                mark[own] = True
-                while len(rest):  # a dense part is met at the first of its members
-                    some, rest = rest[:take], rest[take:]
-                    common = np.array([np.count_nonzero(mark[local[ends[x] - sizes[x] : ends[x]]]) for x in some])
-                    for x in some[common >= least * (sizes[some] + sizes[y] - common)]:
-                        if label[x] != label[y]:
-                            links.append((int(x), int(y)))
-                            label[label == label[x]] = label[y]
-                    rest, take = rest[label[rest] != label[y]], min(4 * take, 1024)
-                mark[own] = False
+    mark, label, links = np.zeros(len(local), bool), np.unique(label, return_inverse=True)[1], []
+    for y in range(1, len(sets)):
+        low, high = np.minimum(sizes[:y], sizes[y]), np.maximum(sizes[:y], sizes[y])
+        rest = np.flatnonzero((label[:y] != label[y]) & (low >= least * high))
+        rest = rest[np.bitwise_count(wide[rest] ^ wide[y]).sum(1, dtype=np.int64) <= WIDE_BUDGET]
+        own, take = local[ends[y] - sizes[y] : ends[y]], 1
+        mark[own] = True
+        while len(rest):  # a dense part is met at the first of its members
+            some, rest = rest[:take], rest[take:]
+            common = np.array([np.count_nonzero(mark[local[ends[x] - sizes[x] : ends[x]]]) for x in some])
+            for x in some[common >= least * (sizes[some] + sizes[y] - common)]:
+                if label[x] != label[y]:
+                    links.append((int(x), int(y)))
+                    label[label == label[x]] = label[y]
+            rest, take = rest[label[rest] != label[y]], min(4 * take, 1024)
+        mark[own] = False
     return links
 
 
@@ -358,15 +439,15 @@ def _verify(table: pa.Table) -> pa.Table:
     first = {k: at for at, k in enumerate(table.column("fp").to_pylist())}  # rows that repeat a document are one member
     keys, at = list(first), list(first.values())
     sets = [np.frombuffer(table.column("hashes")[i].as_buffer(), "<u8") for i in at]
-    bands = np.stack([np.frombuffer(table.column("bands")[i].as_buffer(), "<i8") for i in at])
-    found = verified_links(sets, bands, table.column("label").to_numpy()[at])
+    wide = np.stack([np.frombuffer(table.column("wide")[i].as_buffer(), "<u8") for i in at])
+    found = verified_links(sets, wide, table.column("label").to_numpy()[at])
     return pa.table([pa.array([keys[x] for x, _ in found], pa.int64()), pa.array([keys[y] for _, y in found], pa.int64())], names=["a", "b"])
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, sum (of the text), fp (of the shingle set), component_id (the smallest doc_id that links of SIMILARITY or more reach), kept.
 
-    Equal sets collapse first. Sets that share the least hashes of a band are candidates; those that hang together meet in one task,
+    Equal sets collapse first. Sets whose wide fingerprints the trie joins find near are candidates; those that hang together meet in one task,
     which verifies by the sets themselves. What is too large for a task is dealt into parts: first each part, then, as long as that joins
     half of them, one member of each component found so, then, unless all members of the group hang together by now, each pair of its parts.
     Null texts, rows without words and null doc_ids are as in near_duplicates. Of each component the document with the smallest
@@ -377,36 +458,32 @@ def similar(docs: DataFrame) -> DataFrame:
 
     def keys(batches):
         for batch in batches:
-            found = []
-            for t in batch.column("text").to_pylist():
-                s = shingles(t or "")
-                found.append((set_key(s), len(s), band_keys(s)))
-            fp, size, bands = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sum"), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "sum", "fp", "size", "bands"])
+            found = [shingles(t or "") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("sum"), pa.array([set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([wide_fingerprint(x).tobytes() for x in found], pa.binary())],
+                ["doc_id", "sum", "fp", "size", "wide"],
+            )
 
     def contents(batches):
         for batch in batches:
-            found = [shingles(t or "") for t in batch.column("text").to_pylist()]
-            hashes, bands = [s.tobytes() for s in found], [band_keys(s).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "part", "parts", "fp")), pa.array(hashes, pa.binary()), pa.array(bands, pa.binary())], ["root", "part", "parts", "fp", "hashes", "bands"])
-
-    rows = cut(own.mapInArrow(lean(keys), "doc_id long, sum long, fp long, size long, bands array<long>"))
-    distinct = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sum")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    met = distinct.select("fp", F.posexplode("bands").alias("band", "key"))
-    shared = cut(met.groupBy("band", "key").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1"))
-    edges = spread_join(met, shared, ["band", "key"], "n").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
+            hashes = [shingles(t or "").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "part", "parts", "fp")), pa.array(hashes, pa.binary()), batch.column("wide")], ["root", "part", "parts", "fp", "hashes", "wide"])
+
+    rows = cut(own.mapInArrow(lean(keys), "doc_id long, sum long, fp long, size long, wide binary"))
+    distinct = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sum")).alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("wide").alias("wide")))
+    edges = cut(candidates(distinct))
     roots = components(edges)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    members = cut(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "first", "size", "root"))
-    dealt = lambda hashes: F.greatest(F.ceil(F.sum(hashes + BANDS) / PART_HASHES), F.ceil(F.count("*") / PART_MEMBERS))
+    members = cut(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "first", "size", "wide", "root"))
+    dealt = lambda hashes: F.greatest(F.ceil(F.sum(hashes + WIDE) / PART_HASHES), F.ceil(F.count("*") / PART_MEMBERS))
     weights = members.groupBy("root").agg(dealt(F.col("size")).alias("parts"))
-    members = members.join(weights, "root").select("fp", "first", "root", "parts", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
-    sent = cut(own.join(members, F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sum") == F.col("first.sum"))).select("root", "part", "parts", "fp", "text").mapInArrow(lean(contents), "root long, part long, parts long, fp long, hashes binary, bands binary"))
+    members = members.join(weights, "root").select("fp", "first", "wide", "root", "parts", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
+    sent = cut(own.join(members, F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sum") == F.col("first.sum"))).select("root", "part", "parts", "fp", "wide", "text").mapInArrow(lean(contents), "root long, part long, parts long, fp long, hashes binary, wide binary"))
     found = cut(sent.withColumn("label", F.col("fp")).groupBy("root", "part").applyInArrow(lean_group(_verify), "a long, b long"))
     large = sent.where("parts > 1")
     if not large.isEmpty():
         # one member of each component found so far meets others, as long as that joins half of them: a dense group hangs together before its parts meet
-        labelled = lambda known: large.join(known, large["fp"] == known["node"], "left").select(large["root"], "part", "parts", "fp", "hashes", "bands", F.coalesce(known["root"], "fp").alias("label"))
+        labelled = lambda known: large.join(known, large["fp"] == known["node"], "left").select(large["root"], "part", "parts", "fp", "hashes", "wide", F.coalesce(known["root"], "fp").alias("label"))
         left, tries = None, 0
         while True:
             first = cut(labelled(components(found)).where("fp = label"))
@@ -415,7 +492,7 @@ def similar(docs: DataFrame) -> DataFrame:
             if left and 2 * n > left:  # too few were joined for another round to pay
                 break
             left, tries = n, tries + 1
-            first = first.join(weights, "root").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(tries)), F.col("few"))).select("root", "part", "parts", "fp", "hashes", "bands", "label")
+            first = first.join(weights, "root").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(tries)), F.col("few"))).select("root", "part", "parts", "fp", "hashes", "wide", "label")
             found = cut(found.union(first.groupBy("root", "part").applyInArrow(lean_group(_verify), "a long, b long")))
             if most <= 1:
                 break

@@ -264,6 +264,34 @@ def test_the_stage_drops_copies_of_a_similarity_of_four_fifths(near_copies, monk
     assert len(by_bits) > len(kept)  # the rule of the query alone leaves near copies
 
 
+@pytest.mark.parametrize("leaves", [1, 8])
+def test_tries_take_equal_values_and_checks(leaves):
+    rng = np.random.default_rng(11)
+    v = np.sort(rng.integers(0, 1 << 10, 400).astype(np.uint64))  # many repeat
+    side = rng.integers(0, 3, 400)
+    i, j = simhash.trie_links(np.zeros(400, int), v << np.uint64(40), 1, lambda x, y: side[x] == side[y], leaves)
+    near = (np.bitwise_count(v[:, None] ^ v) <= 1) & (side[:, None] == side)
+    want, got = simhash.Parts(400), simhash.Parts(400)
+    want.join(*np.nonzero(near))
+    got.join(i, j)
+    assert (want.label == got.label).all() and len(i) == 400 - len(set(want.label))
+
+
+def test_the_stage_takes_its_candidates_from_tries_of_simhash(near_copies):
+    """No pair at 0.8 or more is without a chain of candidate links, and texts of other origin have none."""
+    sets = {r["doc_id"]: simhash.shingles(r["text"]) for r in near_copies.collect()}
+    rows = [(d, bytearray(simhash.wide_fingerprint(s).tobytes())) for d, s in sets.items()] + [(10**6, bytearray())]
+    links = simhash.candidates(near_copies.sparkSession.createDataFrame(rows, "fp long, wide binary"))
+    label = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            common = len(np.intersect1d(x, y))
+            if common >= 0.8 * (len(x) + len(y) - common):
+                assert label.get(a, a) == label.get(b, b)
+            if a // 6 != b // 6:
+                assert label.get(a, a) != label.get(b, b)
+
+
 def test_the_stage_drops_rows_not_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(3, a), (5, a), (5, b), (7, c + " x"), (7, c), (None, c), (None, b), (8, a + " y"), (3, a), (9, None), (10, " ")]
